@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from quillstone.llm.decontamination import op3_decontamination
+from quillstone.llm.media import op4_media
 from quillstone.llm.mixing import op9_mixing
 from quillstone.llm.secrets import op8_secrets
 from quillstone.llm.sharding import op1_sharding
+from quillstone.llm.token_store import op5_token_store
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_decontamination": op3_decontamination,
+    "op4_media": op4_media,
+    "op5_token_store": op5_token_store,
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
 }
