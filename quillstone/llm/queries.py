@@ -8,12 +8,14 @@ from quillstone.llm.mixing import op9_mixing
 from quillstone.llm.secrets import op8_secrets
 from quillstone.llm.sharding import op1_sharding
 from quillstone.llm.token_store import op5_token_store
+from quillstone.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_decontamination": op3_decontamination,
     "op4_media": op4_media,
     "op5_token_store": op5_token_store,
+    "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
 }
