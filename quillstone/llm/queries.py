@@ -7,6 +7,7 @@ from quillstone.llm.media import op4_media
 from quillstone.llm.mixing import op9_mixing
 from quillstone.llm.secrets import op8_secrets
 from quillstone.llm.sharding import op1_sharding
+from quillstone.llm.substring_dedup import op10_substring_dedup
 from quillstone.llm.token_store import op5_token_store
 from quillstone.llm.toxicity import op7_toxicity
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 #: None of them: seeded draws, trained models, files that are written and read, look-around patterns and places of matches
