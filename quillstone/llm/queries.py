@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillstone.llm.decontamination import op3_decontamination
 from quillstone.llm.media import op4_media
 from quillstone.llm.mixing import op9_mixing
+from quillstone.llm.ngram_join import op2_ngram_join
 from quillstone.llm.secrets import op8_secrets
 from quillstone.llm.sharding import op1_sharding
 from quillstone.llm.substring_dedup import op10_substring_dedup
@@ -13,6 +14,7 @@ from quillstone.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_ngram_join": op2_ngram_join,
     "op3_decontamination": op3_decontamination,
     "op4_media": op4_media,
     "op5_token_store": op5_token_store,
