@@ -7,7 +7,8 @@ stripes and row groups whose statistics or Bloom filters rule it out.
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -21,48 +22,23 @@ from quillstone.llm._shared import documents, fresh_path, small, stored
 #: The id that ends each document.
 END = 0
 STORE = "doc_id long, block int, pos long, ids array<int>"
-#: Pieces of text whose ids a worker remembers, at most.
-REMEMBERED = 250_000
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20)}
 
-_MIXED_BLANKS = re.compile(r" \s|\s ")
 
+def load(path: str):
+    """The tokenizer; strings of special tokens in a text are ordinary text. Without its cache of words, which costs more than it saves on a large corpus."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer, models
 
-class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers.
-
-    The vocabulary's pre-tokenizer always parts words at a single space that has no other white space beside it, whatever
-    follows; so texts without runs of mixed blanks are encoded by their space-separated pieces, and a piece seen before is not
-    encoded again. Other texts are encoded whole. Either way the ids are those of the whole text.
-    """
-
-    def __init__(self, path: str) -> None:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [None if _MIXED_BLANKS.search(t) else t.split(" ") for t in texts]
-        heads = self._plain([t if p is None else p[0] for t, p in zip(texts, pieces, strict=True)])
-        fresh = {x for p in pieces if p for x in p[1:]}.difference(self.known)
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
-            fresh = {x for p in pieces if p for x in p[1:]}
-        fresh = list(fresh)
-        self.known.update(zip(fresh, self._plain([f" {x}" for x in fresh]), strict=True))
-        get = self.known.__getitem__
-        return [h if p is None else h + b"".join(map(get, p[1:])) for h, p in zip(heads, pieces, strict=True)]
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    model = json.loads(tokenizer.to_str())["model"]
+    if model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        tokenizer.model = models.BPE(vocab=model["vocab"], merges=[tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]], cache_capacity=0)
+    return tokenizer
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> None:
+def write_tokens(docs: DataFrame, path_of_tokenizer: str, path: str, end: int = END) -> None:
     """docs (doc_id, text) as ORC of STORE under path: ids of the whole text and then end; a null text is an empty one.
 
     block numbers the files in ascending doc_id (nulls first), pos the rows of a block. Rows of equal doc_id follow each other,
@@ -72,17 +48,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, block, at = Encoder(tokenizer), TaskContext.get().partitionId(), 0
-        tail = np.asarray([end], dtype="<u4").tobytes()
+        tokenizer, block, at = load(path_of_tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                out = encoder([t or "" for t in part.column(1).to_pylist()])
-                sizes = np.fromiter((len(x) // 4 + 1 for x in out), dtype=np.int64, count=len(out))
-                values = np.frombuffer(b"".join(x + tail for x in out), dtype="<i4")
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                found = tokenizer.encode_batch_fast([t or "" for t in part.column(1).to_pylist()], add_special_tokens=False)
+                values = [x for e in found for x in (*e.ids, end)]
+                offsets = np.concatenate([[0], np.cumsum([len(e) + 1 for e in found])]).astype(np.int32)
                 n = part.num_rows
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(n, block, dtype=np.int32)), pa.array(np.arange(at, at + n)), ids], names=["doc_id", "block", "pos", "ids"])
                 at += n
 
