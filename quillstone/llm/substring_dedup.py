@@ -77,6 +77,13 @@ def _among(pairs: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
+def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in known, which is sorted."""
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _deal(found: np.ndarray, block: int, n_buckets: int) -> pa.RecordBatch:
     """found (n, width) of a block by bucket: each row once, and behind them one byte a row, 1 if it occurs more than once here."""
     found, times = _distinct(found)
@@ -102,7 +109,7 @@ def _again(width: int) -> Callable[[pa.Table], pa.Table]:
         again = _distinct(np.concatenate([every[times > 1], *here]))[0]
         back = []
         for block, (h, _) in zip(table.column("block").to_pylist(), sent, strict=True):
-            hit = _among(h, again) if width == 2 else np.isin(h[:, 0], again[:, 0])
+            hit = _among(h, again) if width == 2 else _member(h[:, 0], again[:, 0])
             if hit.any():
                 back.append((block, h[hit].astype("<u8").tobytes()))
         return pa.table({"block": pa.array([b for b, _ in back], pa.int64()), "again": pa.array([x for _, x in back], pa.binary())})
@@ -118,7 +125,7 @@ def _known(table: pa.Table, width: int) -> np.ndarray:
 def _candidates(words: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Places of windows that hold an anchor which occurs again."""
     at, hashes = anchors(words)
-    at = at[np.isin(hashes, known[:, 0])]
+    at = at[_member(hashes, known[:, 0])]
     n = len(words) - WINDOW + 1
     return np.flatnonzero(_spread(at, WINDOW - ANCHOR, 0, n)) if len(at) and n > 0 else np.zeros(0, dtype=np.int64)
 
