@@ -253,7 +253,7 @@ def ann_search(spark, sf_dir):
     centers = ann.fitted(chunks)
     clusters = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cluster_id int, centroid array<double>")
     q = chunks.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
-    return ann.clustered_matches(q, ann.assigned(chunks, centers), clusters, 6, 6).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return ann.clustered_matches(q, ann.assigned(chunks, centers), clusters, 6, ann.THOROUGH).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query()

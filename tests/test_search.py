@@ -62,7 +62,7 @@ def test_recall_of_clusters(spark, sf):
     labelled = ann.assigned(chunks, centers)
     assert labelled.count() == chunks.count() and labelled.where("cluster_id is null").count() == 0
     pairs = lambda df: {(r["query_id"], r["chunk_id"]) for r in df.collect()}
-    exact, found = pairs(best_matches(q, chunks, 6)), pairs(ann.clustered_matches(q, labelled, table, 6, 6))
+    exact, found = pairs(best_matches(q, chunks, 6)), pairs(ann.clustered_matches(q, labelled, table, 6, ann.THOROUGH))
     assert len(exact & found) >= 0.9 * len(exact)
 
 
