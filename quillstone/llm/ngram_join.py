@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm._shared import documents, mix, stored, window_hashes, word_hashes
 
-SHINGLE, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.99, 3
+SHINGLE, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.999, 3
 #: Texts in a leaf above which a node is split; texts of a tile's side.
 LEAF, TILE = 256, 1024
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - THRESHOLD**DEPTH))
