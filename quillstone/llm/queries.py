@@ -6,6 +6,7 @@ from quillstone.llm.decontamination import op3_decontamination
 from quillstone.llm.media import op4_media
 from quillstone.llm.mixing import op9_mixing
 from quillstone.llm.ngram_join import op2_ngram_join
+from quillstone.llm.pseudonyms import op6_pseudonyms
 from quillstone.llm.secrets import op8_secrets
 from quillstone.llm.sharding import op1_sharding
 from quillstone.llm.substring_dedup import op10_substring_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_media": op4_media,
     "op5_token_store": op5_token_store,
+    "op6_pseudonyms": op6_pseudonyms,
     "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
