@@ -601,12 +601,10 @@ def dominant_language(spark, sf_dir):
     return embedding.dominant_language(table(spark, sf_dir, "documents"), "source", "doc_id")
 
 
-@query("select cast(doc_id as varchar) as doc_id, cast(row_number() over (order by doc_id desc) as int) as place from documents")
+@query("select cast(doc_id as varchar) as doc_id, 1700000000 + doc_id as created from documents order by 2 desc, 1")
 def documents_by_age(spark, sf_dir):
-    """All documents, the newest first, with their places by range partitions."""
-    d = _documents(spark, sf_dir)
-    rank = F.row_number().over(Window.orderBy(F.desc("created_at"), "doc_id"))
-    return d.select("doc_id", "created_at").withColumn("place", rank).select("doc_id", "place")
+    """All documents, the newest first."""
+    return _documents(spark, sf_dir).orderBy(F.desc("created_at"), "doc_id").select("doc_id", F.unix_timestamp("created_at").alias("created"))
 
 
 @query("select cast(conv_id as varchar) as doc_id, cast(row_number() over (partition by conv_id order by turn) as int) as place, role, length(text) as n_chars from conversations")
