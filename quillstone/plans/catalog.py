@@ -508,7 +508,27 @@ def chunk_estimates(spark, sf_dir):
     return n.withColumn("flashcards", F.col("n_chunks") * _STANDARD.flashcards).withColumn("quizzes", F.col("n_chunks") * _STANDARD.quizzes)
 
 
-@query()
+def window_sql(size: int = 900, overlap: int = 135, most: int = 400) -> str:
+    """The window chunker: a walk from window to window over each text's sentence ends, or slices where that gives too many."""
+    step = size - overlap
+    slices = f"case when hi - lo <= {size} then 1 else cast(ceil((hi - lo - {size}) / {step}.0) as bigint) + 1 end"
+    return rf"""with recursive p as (select doc_id, text, length(text) as n, list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]*\s*'), lambda x: length(x)), lambda x: x > 0) as l from documents where regexp_matches(text, '[\p{{L}}\p{{N}}]')),
+    e as (select doc_id, i, sum(x) over (partition by doc_id order by i) as b, x from (select doc_id, generate_subscripts(l, 1) as i, unnest(l) as x from p)),
+    q as (select doc_id, list(cast(b - x as bigint) order by i) as a, list(cast(b as bigint) order by i) as b from e group by doc_id),
+    w as (select doc_id, cast(1 as bigint) as first from q union all
+      select doc_id, first from (select q.doc_id, case when last = w.first and q.b[last] - q.a[w.first] > {size} then w.first + 1
+        else greatest(w.first + 1, least(last, len(list_filter(q.a, lambda x: x <= greatest(q.a[w.first], q.b[last] - {overlap}))))) end as first, len(q.a) as m
+        from (select w.doc_id, w.first, greatest(w.first, len(list_filter(q.b, lambda x: x - q.a[w.first] <= {size}))) as last from w join q on q.doc_id = w.doc_id) w join q on q.doc_id = w.doc_id) where first <= m),
+    r as (select w.doc_id, w.first, q.a[w.first] as lo, q.b[greatest(w.first, len(list_filter(q.b, lambda x: x - q.a[w.first] <= {size})))] as hi from w join q on q.doc_id = w.doc_id),
+    c as (select doc_id, first, i, lo + i * {step} as a, least(hi, lo + i * {step} + {size}) as b from (select doc_id, first, lo, hi, unnest(range(0, {slices})) as i from r)),
+    k as (select doc_id, count(*) as k from c group by 1),
+    f as (select doc_id, i, i * {step} as a, least(hi, i * {step} + {size}) as b, hi from (select doc_id, n as hi, unnest(range(0, least({most + 1}, {slices}))) as i from (select p.doc_id, n, 0 as lo, n as hi from p join k on k.doc_id = p.doc_id and k.k > {most}))),
+    u as (select c.doc_id, row_number() over (partition by c.doc_id order by first, i) - 1 as i, a, b from c join k on k.doc_id = c.doc_id and k.k <= {most}
+      union all select doc_id, i, a, b from f union all select doc_id, {most + 1}, b, hi from f where i = {most} and b < hi)
+    select u.doc_id, cast(u.i as int) as chunk_index, cast(a as int) as start_offset, cast(b as int) as end_offset, {HASH('substr(text, cast(a + 1 as bigint), cast(b - a as bigint))')} as content_hash, cast({WORDS('substr(text, cast(a + 1 as bigint), cast(b - a as bigint))')} as int) as word_count from u join p on p.doc_id = u.doc_id"""
+
+
+@query(window_sql())
 def window_chunks(spark, sf_dir):
     """Overlapping windows of sentences."""
     s = chunking.window_chunks(table(spark, sf_dir, "documents"))
