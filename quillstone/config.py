@@ -130,3 +130,13 @@ SYNONYMS = {
 }
 MAX_EXPANSIONS = 4
 SUPPORTED_LANGUAGES = ("en", "es", "de", "fr", "it", "pt", "zh-Hans", "ja")
+
+# Frequent short words by which a text's language is told, for languages that part words by blanks.
+FREQUENT_WORDS = {
+    "en": ("the", "and", "of", "to", "that", "with", "for", "was", "this", "are"),
+    "es": ("el", "los", "las", "que", "del", "una", "por", "con", "para", "y"),
+    "de": ("der", "die", "das", "und", "ist", "nicht", "mit", "von", "den", "ein"),
+    "fr": ("le", "les", "des", "est", "une", "dans", "pour", "qui", "sur", "et"),
+    "it": ("il", "gli", "della", "che", "di", "sono", "per", "nel", "alla", "anche"),
+    "pt": ("os", "um", "uma", "não", "mais", "pelo", "são", "ao", "dos", "foi"),
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstone.config import CHARS_PER_TOKEN, MAX_EXPANSIONS, SOURCE_LABELS, SUPPORTED_LANGUAGES, SYNONYMS
+from quillstone.config import CHARS_PER_TOKEN, FREQUENT_WORDS, MAX_EXPANSIONS, SOURCE_LABELS, SUPPORTED_LANGUAGES, SYNONYMS
 
 NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
@@ -67,6 +67,18 @@ def language_supported(lang: Column) -> Column:
     return lang.isin(*SUPPORTED_LANGUAGES)
 
 
+def detected_language(c: Column) -> Column:
+    """The language whose frequent words a text holds most of, the first in FREQUENT_WORDS' order if several do; en for none."""
+    words = F.split(F.lower(c), NOT_WORD)
+    count = lambda some: F.size(F.filter(words, lambda x: x.isin(*some)))
+    hits = [(lang, count(some)) for lang, some in FREQUENT_WORDS.items()]
+    best = F.greatest(*[n for _, n in hits])
+    out = F.lit("en")
+    for lang, n in reversed(hits):
+        out = F.when((n == best) & (best > 0), lang).otherwise(out)
+    return out
+
+
 def truncated(c: Column, budget: Column) -> Column:
     """Cut to budget characters at the last blank, and dots; a text that fits stays as it is."""
     cut = F.left(c, budget.cast("int"))

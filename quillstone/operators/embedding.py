@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.config import SUPPORTED_LANGUAGES
+from quillstone.functions.vectors import cosine
 
 
 @dataclass(frozen=True)
@@ -91,6 +92,12 @@ def embedded(df: DataFrame, provider: Provider, text_col: str = "content") -> Da
     return df.mapInArrow(run, StructType([*df.schema.fields]).add("vector", ArrayType(FloatType())))
 
 
+def similarities(df: DataFrame, provider: Provider, a: str = "a", b: str = "b") -> DataFrame:
+    """df with similarity, the cosine of the texts a and b; null where either can't be embedded."""
+    both = embedded(embedded(df, provider, a).withColumnRenamed("vector", "__a"), provider, b)
+    return both.withColumn("similarity", cosine(F.col("__a"), F.col("vector"))).drop("__a", "vector")
+
+
 def mean_vectors(df: DataFrame, key: str = "text_id") -> DataFrame:
     """key, vector: the mean of df's word vectors (key, vector) by place. Vectors of another length than the first's are skipped but count in the divisor."""
     sized = df.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key))).withColumn("dim", F.first(F.size("vector")).over(Window.partitionBy(key).orderBy("place")))

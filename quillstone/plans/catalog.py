@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone import schemas
-from quillstone.config import CONTEXT_HEADER, CONTEXT_PRESETS, SENTENCE_PRESETS, SOURCE_LABELS, SUPPORTED_LANGUAGES, SYNONYMS, TOKEN_PRESETS, SentenceChunkConfig, WindowChunkConfig
+from quillstone.config import CONTEXT_HEADER, CONTEXT_PRESETS, FREQUENT_WORDS, SENTENCE_PRESETS, SOURCE_LABELS, SUPPORTED_LANGUAGES, SYNONYMS, TOKEN_PRESETS, SentenceChunkConfig, WindowChunkConfig
 from quillstone.functions import text as T
 from quillstone.functions import vectors as V
 from quillstone.operators import ann, chunking, embedding, index
@@ -110,6 +110,26 @@ def truncate_words(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.truncated(F.col("text"), 40 + F.col("doc_id") % 200).alias("content"))
 
 
+def language_sql() -> str:
+    counts = ", ".join(f"len(list_filter(w, lambda x: x in {some})) as n_{lang}" for lang, some in FREQUENT_WORDS.items())
+    most = "greatest(" + ", ".join(f"n_{lang}" for lang in FREQUENT_WORDS) + ")"
+    which = " ".join(f"when n_{lang} = {most} then '{lang}'" for lang in FREQUENT_WORDS)
+    return f"with w as (select doc_id, regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+') as w from documents), n as (select doc_id, {counts} from w) select doc_id, case when {most} = 0 then 'en' {which} end as language from n"
+
+
+@query(language_sql())
+def detect_language(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.detected_language(F.col("text")).alias("language"))
+
+
+@query()
+def text_similarity(spark, sf_dir):
+    """Each benchmark item and the document of the same number."""
+    d, b = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a")), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("b"))
+    both = embedding.similarities(d.join(b, d.doc_id == b.item_id), embedding.HashingProvider())
+    return both.select("item_id", F.round("similarity", 6).alias("similarity"))
+
+
 _ASKED = ("How do I explain the key theory?", "show me What matters", "study learn study", "an Analysis of the result and the method", "nothing to replace", "", "why? WHY")
 _ASKED_ROWS = ", ".join(f"({i}, '{q}')" for i, q in enumerate(_ASKED))
 

@@ -68,3 +68,10 @@ def test_context(spark):
 def test_head_is_no_less_than_coarse():
     for k in (1, 6, 20, 100):
         assert SearchConfig(top_k=k).head >= SearchConfig(top_k=k).coarse > k
+
+
+def test_language(spark, sf):
+    assert one(spark, T.detected_language(F.col("a")), a="12 34") == "en"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars > 300")
+    right = docs.where(T.detected_language(F.col("text")) == F.col("lang")).count()
+    assert right >= 0.8 * docs.count()
