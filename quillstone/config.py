@@ -106,6 +106,7 @@ CONTEXT_PRESETS = {
     "rich": ContextConfig(900, 5, 0.30, None, None, True),
     "quiz": ContextConfig(500, 3, 0.40, ("ai_note", "flashcard", "quiz"), None, True),
 }
+# Fixed value: what a block of context begins with.
 CONTEXT_HEADER = "RELATED KNOWLEDGE FROM YOUR STUDY HISTORY:\n"
 
 # Labels of source types, and words with the two that replace them in expanded queries.

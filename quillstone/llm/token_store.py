@@ -9,33 +9,153 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm._shared import documents, fresh_path, small, stored
+from quillstone.llm._shared import _BYTE, _OF_BYTES, _OF_WORDS, documents, fresh_path, small, stored
 
 #: The id that ends each document.
 END = 0
+#: Text that is encoded at once, about: the more, the more words are met again.
+SLICE_BYTES = 24 << 20
 STORE = "doc_id long, block int, pos long, ids array<int>"
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20)}
 
 
+def _of_worker(key) -> list:
+    """A list that a Python worker keeps from task to task; what a task is sent is new each time."""
+    return sys.modules.setdefault("_quillstone_worker", types.ModuleType("_quillstone_worker")).__dict__.setdefault(key, [])
+
+
 def load(path: str):
-    """The tokenizer; strings of special tokens in a text are ordinary text. Without its cache of words, which costs more than it saves on a large corpus."""
+    """The tokenizer, read once a worker; strings of special tokens in a text are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer, models
+    from tokenizers import Tokenizer
+
+    if not (kept := _of_worker(path)):
+        kept.append(Tokenizer.from_file(path))
+        kept[0].encode_special_tokens = True
+    return kept[0]
+
+
+# Characters beyond ASCII, and control characters, that count as white space somewhere.
+_ODD_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
+_NO_IDS = np.zeros(0, dtype=np.int32)
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+
+
+class Encoder:
+    """Ids of whole texts, all the texts of a call together.
+
+    A byte-level pre-tokenizer always parts a text at a single space that has no other blank beside it, and never joins across;
+    so the text's units between such spaces can be encoded apart. Equal units of a call are encoded once, many of them in one
+    string, in which each begins with the one token that has a space in front. Units that don't fit this (a text's first,
+    those with other blanks) are encoded one by one, and a tokenizer of another kind is given whole texts.
+    """
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    model = json.loads(tokenizer.to_str())["model"]
-    if model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
-        tokenizer.model = models.BPE(vocab=model["vocab"], merges=[tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]], cache_capacity=0)
-    return tokenizer
+    def __init__(self, tokenizer, end: int) -> None:
+        self.tokenizer, self.end = tokenizer, end
+        if len(kept := _of_worker(id(tokenizer))) == 2:
+            self.in_units, self.starts = kept
+            return
+        made = json.loads(tokenizer.to_str())
+        pre = made.get("pre_tokenizer") or {}
+        self.in_units = made["model"]["type"] == "BPE" and not made.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        vocab = tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.starts[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True
+        kept += [self.in_units, self.starts]
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all, number of each text's)."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), dtype=np.int32), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+
+    def _joined(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for units that hold one space each, in front."""
+        ids, sizes = [_NO_IDS], [np.zeros(0, dtype=np.int64)]
+        for k in range(0, len(units), 4096):
+            part = units[k : k + 4096]
+            x, n = self._plain([b"".join(part).decode()])
+            cuts = np.flatnonzero(self.starts[x])
+            n = np.diff(np.append(cuts, len(x)))
+            if len(n) != len(part):
+                x, n = self._plain([u.decode() for u in part])
+            ids.append(x)
+            sizes.append(n)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, each text's followed by end; where each text's begin, and the end of all)."""
+        if not self.in_units:
+            ids, n = self._plain(texts)
+            return np.insert(ids, np.cumsum(n), self.end), np.concatenate([[0], np.cumsum(n + 1)])
+        raw = [t.encode() for t in texts]
+        flat = b"".join(raw)
+        size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        last = np.cumsum(size)
+        first = last - size
+        b = np.frombuffer(flat, dtype=np.uint8)
+        if not len(b):
+            return np.full(len(raw), self.end, dtype=np.int32), np.arange(len(raw) + 1)
+        space = b == 32
+        blank = _BLANK[b]
+        cut = np.zeros(len(b) + 1, dtype=bool)
+        cut[1 : len(b) - 1] = space[1:-1] & ~blank[:-2] & ~blank[2:]
+        for i in (i for i, t in enumerate(texts) if _ODD_BLANKS.search(t)):
+            cut[first[i] : last[i]] = False
+        cut[last - 1] &= size == 0  # nothing follows
+        cut[first] = True  # and each text begins one
+        start = np.flatnonzero(cut[: len(b)])
+        stop = np.append(start[1:], len(b))
+        spaces = np.concatenate([[0], np.cumsum(space)])
+        apart = (spaces[stop] - spaces[start] != 1) | ~space[start] | blank[stop - 1]
+        h, h2 = _hashes(_BYTE[b], start, stop)
+        _, at, unit = np.unique(h, return_index=True, return_inverse=True)
+        order = np.argsort(apart[at], kind="stable")  # those that can be joined first
+        at, unit = at[order], np.argsort(order)[unit]
+        alike = np.flatnonzero(h2 != h2[at[unit]])  # in 64 bits, by chance
+        at, unit[alike] = np.append(at, alike), len(at) + np.arange(len(alike))
+        pieces = [flat[x:y] for x, y in zip(start[at].tolist(), stop[at].tolist(), strict=True)]
+        k = len(order) - int(apart[at[: len(order)]].sum())
+        (x1, n1), (x2, n2) = self._joined(pieces[:k]), self._plain([u.decode() for u in pieces[k:]])
+        table, n = np.concatenate([x1, x2, np.asarray([self.end], dtype=np.int32)]), np.concatenate([n1, n2, [1]])
+        place = np.cumsum(n) - n
+        ends = np.searchsorted(start, last, "left")  # behind each text's units
+        unit = np.insert(unit, ends, len(n) - 1)
+        many = n[unit]
+        total = np.concatenate([[0], np.cumsum(many)])
+        ids = table[np.repeat(place[unit] - total[:-1], many) + np.arange(total[-1])]
+        return ids, np.concatenate([[0], total[ends + np.arange(1, len(raw) + 1)]])
+
+
+def _hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each range; about a million bytes at a time, for the length of the powers' tables."""
+    cuts = np.unique(np.searchsorted(start, np.arange(0, len(values), 1 << 20)))
+    h = []
+    for x, y in zip(cuts, np.append(cuts[1:], len(start)), strict=True):
+        low, high = start[x], stop[y - 1]
+        h.append([r.ranges(values[low:high], start[x:y] - low, stop[x:y] - low) for r in (_OF_BYTES, _OF_WORDS)])
+    return np.concatenate([a for a, _ in h]) + (stop - start).astype(np.uint64), np.concatenate([b for _, b in h])
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of (doc_id, text) in slices of about SLICE_BYTES of text, a row at least."""
+    sizes = np.nan_to_num(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(float))
+    part = np.cumsum(sizes) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
 
 
 def write_tokens(docs: DataFrame, path_of_tokenizer: str, path: str, end: int = END) -> None:
@@ -48,16 +168,13 @@ def write_tokens(docs: DataFrame, path_of_tokenizer: str, path: str, end: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokenizer, block, at = load(path_of_tokenizer), TaskContext.get().partitionId(), 0
+        encoder, block, at = Encoder(load(path_of_tokenizer), end), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                found = tokenizer.encode_batch_fast([t or "" for t in part.column(1).to_pylist()], add_special_tokens=False)
-                values = [x for e in found for x in (*e.ids, end)]
-                offsets = np.concatenate([[0], np.cumsum([len(e) + 1 for e in found])]).astype(np.int32)
+            for part in _slices(batch):
+                ids, offsets = encoder([t or "" for t in part.column(1).to_pylist()])
                 n = part.num_rows
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(n, block, dtype=np.int32)), pa.array(np.arange(at, at + n)), ids], names=["doc_id", "block", "pos", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(n, block, dtype=np.int32)), pa.array(np.arange(at, at + n)), lists], names=["doc_id", "block", "pos", "ids"])
                 at += n
 
     slim = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
