@@ -26,8 +26,10 @@ from quillstone.llm._shared import _BYTE, _OF_BYTES, _OF_WORDS, documents, fresh
 
 #: The id that ends each document.
 END = 0
-#: Text that is encoded at once, about: the more, the more words are met again.
-SLICE_BYTES = 24 << 20
+#: Text that is encoded at once, about.
+SLICE_BYTES = 6 << 20
+#: Units of text that a worker remembers the ids of, at most, and their bytes.
+REMEMBERED, LONGEST_KEPT = 1_000_000, 48
 STORE = "doc_id long, block int, pos long, ids array<int>"
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20)}
 
@@ -60,12 +62,12 @@ class Encoder:
 
     A byte-level pre-tokenizer always parts a text at a single space that has no other blank beside it, and never joins across;
     so the text's units between such spaces can be encoded apart. Equal units of a call are encoded once, many of them in one
-    string, in which each begins with the one token that has a space in front. Units that don't fit this (a text's first,
+    string, in which each begins with the one token that has a space in front; a worker remembers a bounded number of them. Units that don't fit this (a text's first,
     those with other blanks) are encoded one by one, and a tokenizer of another kind is given whole texts.
     """
 
     def __init__(self, tokenizer, end: int) -> None:
-        self.tokenizer, self.end = tokenizer, end
+        self.tokenizer, self.end, self.memory = tokenizer, end, _of_worker(("memory", id(tokenizer)))
         if len(kept := _of_worker(id(tokenizer))) == 2:
             self.in_units, self.starts = kept
             return
@@ -96,6 +98,35 @@ class Encoder:
             sizes.append(n)
         return np.concatenate(ids), np.concatenate(sizes)
 
+    def _ids_of(self, h: np.ndarray, h2: np.ndarray, units: list[bytes], apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in table, number, table) of the ids of different units, h in order; what the worker met in an earlier call isn't encoded again."""
+        if not self.memory:
+            self.memory += [np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), _NO_IDS]
+        kh, kh2, kplace, kn, table = self.memory
+        at = np.minimum(np.searchsorted(kh, h), max(len(kh) - 1, 0))
+        met = (kh[at] == h) & (kh2[at] == h2) if len(kh) else np.zeros(len(h), dtype=bool)
+        place, n = np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=np.int64)
+        place[met], n[met] = kplace[at[met]], kn[at[met]]
+        parts, base = [table], len(table)
+        for new, encode in ((~met & ~apart, self._joined), (~met & apart, lambda us: self._plain([u.decode() for u in us]))):
+            k = np.flatnonzero(new)
+            x, many = encode([units[i] for i in k.tolist()])
+            place[k], n[k] = base + np.cumsum(many) - many, many
+            parts.append(x)
+            base += len(x)
+        table = np.concatenate(parts)
+        short = np.fromiter(map(len, units), dtype=np.int64, count=len(units)) <= LONGEST_KEPT
+        new = ~met & short
+        if len(kh) + new.sum() <= REMEMBERED and len(table) <= 8 * REMEMBERED:
+            order = np.argsort(np.concatenate([kh, h[new]]), kind="stable")
+            self.memory[:] = [np.concatenate([x, y[new]])[order] for x, y in ((kh, h), (kh2, h2), (kplace, place), (kn, n))] + [table]
+        else:  # begin anew with what this call has met
+            keep = np.flatnonzero(short)[:REMEMBERED]
+            total = np.cumsum(n[keep])
+            ids = table[np.repeat(place[keep] - total + n[keep], n[keep]) + np.arange(total[-1] if len(total) else 0)]
+            self.memory[:] = [h[keep], h2[keep], total - n[keep], n[keep], ids]
+        return place, n, table
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each text's followed by end; where each text's begin, and the end of all)."""
         if not self.in_units:
@@ -119,19 +150,16 @@ class Encoder:
         cut[first] = True  # and each text begins one
         start = np.flatnonzero(cut[: len(b)])
         stop = np.append(start[1:], len(b))
-        spaces = np.concatenate([[0], np.cumsum(space)])
+        spaces = np.zeros(len(b) + 1, dtype=np.int32)
+        np.cumsum(space, dtype=np.int32, out=spaces[1:])
         apart = (spaces[stop] - spaces[start] != 1) | ~space[start] | blank[stop - 1]
-        h, h2 = _hashes(_BYTE[b], start, stop)
-        _, at, unit = np.unique(h, return_index=True, return_inverse=True)
-        order = np.argsort(apart[at], kind="stable")  # those that can be joined first
-        at, unit = at[order], np.argsort(order)[unit]
+        h, h2 = _hashes(b, start, stop)
+        known, at, unit = np.unique(h, return_index=True, return_inverse=True)
+        place, n, table = self._ids_of(known, h2[at], [flat[x:y] for x, y in zip(start[at].tolist(), stop[at].tolist(), strict=True)], apart[at])
         alike = np.flatnonzero(h2 != h2[at[unit]])  # in 64 bits, by chance
-        at, unit[alike] = np.append(at, alike), len(at) + np.arange(len(alike))
-        pieces = [flat[x:y] for x, y in zip(start[at].tolist(), stop[at].tolist(), strict=True)]
-        k = len(order) - int(apart[at[: len(order)]].sum())
-        (x1, n1), (x2, n2) = self._joined(pieces[:k]), self._plain([u.decode() for u in pieces[k:]])
-        table, n = np.concatenate([x1, x2, np.asarray([self.end], dtype=np.int32)]), np.concatenate([n1, n2, [1]])
-        place = np.cumsum(n) - n
+        x, more = self._plain([flat[start[k] : stop[k]].decode() for k in alike])
+        unit[alike] = len(n) + np.arange(len(alike))
+        table, n, place = np.concatenate([table, x, [self.end]]).astype(np.int32), np.concatenate([n, more, [1]]), np.concatenate([place, len(table) + np.cumsum(more) - more, [len(table) + len(x)]])
         ends = np.searchsorted(start, last, "left")  # behind each text's units
         unit = np.insert(unit, ends, len(n) - 1)
         many = n[unit]
@@ -146,7 +174,8 @@ def _hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np
     h = []
     for x, y in zip(cuts, np.append(cuts[1:], len(start)), strict=True):
         low, high = start[x], stop[y - 1]
-        h.append([r.ranges(values[low:high], start[x:y] - low, stop[x:y] - low) for r in (_OF_BYTES, _OF_WORDS)])
+        part = _BYTE[values[low:high]]
+        h.append([r.ranges(part, start[x:y] - low, stop[x:y] - low) for r in (_OF_BYTES, _OF_WORDS)])
     return np.concatenate([a for a, _ in h]) + (stop - start).astype(np.uint64), np.concatenate([b for _, b in h])
 
 
