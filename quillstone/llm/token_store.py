@@ -52,6 +52,8 @@ def load(path: str):
 
 # Characters beyond ASCII, and control characters, that count as white space somewhere.
 _ODD_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
+_ODD_BYTE = np.zeros(256, dtype=bool)
+_ODD_BYTE[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True  # what any of them begins with in UTF-8
 _NO_IDS = np.zeros(0, dtype=np.int32)
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -144,7 +146,7 @@ class Encoder:
         blank = _BLANK[b]
         cut = np.zeros(len(b) + 1, dtype=bool)
         cut[1 : len(b) - 1] = space[1:-1] & ~blank[:-2] & ~blank[2:]
-        for i in (i for i, t in enumerate(texts) if _ODD_BLANKS.search(t)):
+        for i in (i for i, t in enumerate(texts) if _ODD_BLANKS.search(t)) if _ODD_BYTE[b].any() else ():
             cut[first[i] : last[i]] = False
         cut[last - 1] &= size == 0  # nothing follows
         cut[first] = True  # and each text begins one
