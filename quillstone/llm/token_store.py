@@ -27,9 +27,9 @@ from quillstone.llm._shared import _BYTE, _OF_BYTES, _OF_WORDS, documents, fresh
 #: The id that ends each document.
 END = 0
 #: Text that is encoded at once, about.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 #: Units of text that a worker remembers the ids of, at most, and their bytes.
-REMEMBERED, LONGEST_KEPT = 1_000_000, 48
+REMEMBERED, LONGEST_KEPT = 800_000, 48
 STORE = "doc_id long, block int, pos long, ids array<int>"
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20)}
 
