@@ -7,7 +7,7 @@ ratio is the sum over its letters. A document's ratios, normalised for its lengt
 highest words, the density of telling words), are weighed by a logistic regression.
 
 Counts are taken from all labelled documents that may be learnt from, but for a share kept to fit the regression, and stay
-distributed. What tasks hold is a table of ``SLOTS`` entries, whatever the corpus.
+distributed. The table of ratios grows with the corpus and keeps every counted code; beyond ``HELD`` entries tasks read it in parts.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,10 @@ from quillstone.llm._shared import documents, stored
 
 ORDER, BITS = 6, 10
 DISCOUNT = 0.75
-SLOTS, CONTEXT_SLOTS = 1 << 22, 1 << 21
+#: Set in the keys of contexts, which share a table with six-letter codes.
+CONTEXT = np.uint64(1 << (ORDER * BITS))
+#: Codes and contexts that a task has in memory; more are looked up in parts, for about LOOKED_UP codes of documents at a time.
+HELD, LOOKED_UP = 1 << 22, 1 << 22
 #: Documents that the regression is fitted on, at most: those of least hash.
 FITTED = 20_000
 #: A labels table of more rows is joined by a shuffle.
@@ -65,38 +69,44 @@ def letter_codes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return code[1:], blank[1:]
 
 
-def _slot(code: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+def _mixed(code: np.ndarray) -> np.ndarray:
+    """One to one, so tables are sorted and looked up by it."""
     h = code * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64), ((h >> np.uint64(8)) & np.uint64(255)).astype(np.uint8)
+    return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
 class Ratios:
-    """Log-likelihood ratios by code: of seen six-letter codes, else of their contexts' backoff weights, else 0."""
+    """Log-likelihood ratios by code: of seen six-letter codes, else of their contexts' backoff weights (keys from CONTEXT on), else 0."""
 
-    def __init__(self, ratio: np.ndarray, mark: np.ndarray, backoff: np.ndarray, backoff_mark: np.ndarray) -> None:
-        self.arrays = ratio, mark, backoff, backoff_mark
-        self.ratio, self.mark, self.backoff, self.backoff_mark = self.arrays
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys, self.values, bits = keys, values, max(len(keys).bit_length(), 1)
+        self.shift = np.uint64(64 - bits)
+        self.start = np.concatenate([[0], np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits))]).astype(np.int32)
 
     @staticmethod
-    def table(codes: np.ndarray, values: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where codes share a slot, the one that tells most stays."""
-        order = np.lexsort((codes, np.abs(values)))
-        value, mark = np.full(slots, np.nan, dtype=np.float32), np.zeros(slots, dtype=np.uint8)
-        slot, sign = _slot(codes[order], slots)
-        value[slot], mark[slot] = values[order], sign
-        return value, mark
+    def table(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = _mixed(codes.astype(np.uint64))
+        order = np.argsort(keys)
+        return keys[order], values[order].astype(np.float32)
+
+    def find(self, code: np.ndarray) -> np.ndarray:
+        """The values of codes, NaN of those that aren't in the table."""
+        key, out = _mixed(code), np.full(len(code), np.nan, dtype=np.float32)
+        bucket = (key >> self.shift).astype(np.int64)
+        at, end, rest = self.start[bucket], self.start[bucket + 1], np.arange(len(code))
+        while len(rest):
+            more = at < end
+            at, end, key, rest = at[more], end[more], key[more], rest[more]
+            same = self.keys[at] == key
+            out[rest[same]] = self.values[at[same]]
+            at, end, key, rest = at[~same] + 1, end[~same], key[~same], rest[~same]
+        return out
 
     def of(self, code: np.ndarray) -> np.ndarray:
-        slot, sign = _slot(code, SLOTS)
-        out = self.ratio[slot]
-        out[self.mark[slot] != sign] = np.nan
+        out = self.find(code)
         rest = np.flatnonzero(np.isnan(out))
-        slot, sign = _slot(code[rest] >> np.uint64(BITS), CONTEXT_SLOTS)
-        low = self.backoff[slot]
-        low[(self.backoff_mark[slot] != sign) | np.isnan(low)] = 0
-        out[rest] = low
+        out[rest] = np.nan_to_num(self.find((code[rest] >> np.uint64(BITS)) | CONTEXT))
         return out
 
     def features(self, text: str | None) -> np.ndarray:
@@ -112,21 +122,60 @@ class Ratios:
         return np.array([words.mean(), top[0], top.mean(), (words > 3).sum() / len(words) ** 0.5, np.log1p(len(words))])
 
 
+def _opened(part: Broadcast) -> Ratios:
+    """A part read from the executor's disk; the broadcast itself doesn't hold on to it."""
+    arrays = part.value
+    part.__dict__.pop("_value", None)
+    return Ratios(*arrays)
+
+
+class Parts:
+    """Ratios of all counted codes, in broadcast parts of about HELD: the only one is kept open, of several one at a time is in memory."""
+
+    def __init__(self, parts: list[Broadcast]) -> None:
+        self.parts, self.whole = parts, None
+
+    def __getstate__(self) -> dict:
+        return {"parts": self.parts, "whole": None}
+
+    def _needed(self, code: np.ndarray) -> Ratios:
+        """Of several parts, what these codes find in any of them."""
+        code = np.unique(code)
+        code = np.concatenate([code, np.unique(code >> np.uint64(BITS)) | CONTEXT])
+        found = np.full(len(code), np.nan, dtype=np.float32)
+        for part in self.parts:
+            got = _opened(part).find(code)
+            found = np.where(np.isnan(got), found, got)
+        there = ~np.isnan(found)
+        return Ratios(*Ratios.table(code[there], found[there]))
+
+    def features(self, texts: pa.Array | list) -> Iterator[np.ndarray]:
+        """The features of each text, in order."""
+        texts = texts.to_pylist() if isinstance(texts, pa.Array) else texts
+        if len(self.parts) == 1:
+            self.whole = self.whole or _opened(self.parts[0])
+            yield from map(self.whole.features, texts)
+            return
+        held, codes, n = [], [], 0
+        for k, text in enumerate(texts):
+            held.append(text)
+            codes.append(np.unique(letter_codes(text)[0]))
+            n += len(codes[-1])
+            if n >= LOOKED_UP or k == len(texts) - 1:
+                yield from map(self._needed(np.concatenate(codes)).features, held)
+                held, codes, n = [], [], 0
+
+
 class Model:
-    def __init__(self, ratios: Ratios, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray) -> None:
+    def __init__(self, ratios: Parts, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray) -> None:
         self.ratios, self.mean, self.scale, self.weights = ratios, mean, scale, weights
 
-    def arrays(self) -> tuple:
-        """What of() makes the model from again; plain arrays, to be broadcast."""
-        return self.ratios.arrays, self.mean, self.scale, self.weights
-
-    @classmethod
-    def of(cls, arrays: tuple) -> Model:
-        return cls(Ratios(*arrays[0]), *arrays[1:])
+    def scores(self, texts: pa.Array | list) -> list[float]:
+        rows = (np.append((x - self.mean) / self.scale, 1.0) for x in self.ratios.features(texts))
+        return [float(1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))) for x in rows]
 
     def score(self, text: str | None) -> float:
-        x = np.append((self.ratios.features(text) - self.mean) / self.scale, 1.0)
-        return float(1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30))))
+        return self.scores([text])[0]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -194,11 +243,14 @@ def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     return full.select("code", "ratio"), full.select(F.col("context").alias("code"), F.col("backoff").alias("ratio")).distinct()
 
 
-def _best(table: DataFrame, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most one code for each of slots bins, the one that tells most, to the driver."""
-    best = table.groupBy(F.pmod(F.xxhash64("code"), F.lit(slots)).alias("bin")).agg(F.max(F.struct(F.abs("ratio").alias("a"), "code", "ratio")).alias("m"))
-    got = best.select("m.code", F.col("m.ratio").cast("float").alias("ratio")).toArrow()
-    return got.column("code").to_numpy().astype(np.uint64), got.column("ratio").to_numpy()
+def parts(seen: DataFrame, contexts: DataFrame) -> Parts:
+    """All codes of what ratios() gives, broadcast in as many parts of about HELD as they take. The driver holds one at a time."""
+    both = seen.unionAll(contexts.select(F.col("code").bitwiseOR(F.lit(int(CONTEXT))), "ratio"))
+    n, out = max(1, -(-both.count() // HELD)), []
+    for k in range(n):
+        got = both.where(F.pmod(F.xxhash64("code"), F.lit(n)) == k).select("code", F.col("ratio").cast("float").alias("ratio")).toArrow()
+        out.append(seen.sparkSession.sparkContext.broadcast(Ratios.table(got.column("code").to_numpy(), got.column("ratio").to_numpy())))
+    return Parts(out)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -217,14 +269,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.select("doc_id", F.col("text").cast("string"))
     grams = texts.join(counted, "doc_id").select("text", "toxic").mapInArrow(_counted, "code long, toxic long, ordinary long")
     grams = stored(grams.groupBy("code").agg(F.sum("toxic").cast("double").alias("toxic"), F.sum("ordinary").cast("double").alias("ordinary")), "toxicity-grams")
-    seen, contexts = ratios(grams)
-    table = Ratios(*Ratios.table(*_best(seen, SLOTS), SLOTS), *Ratios.table(*_best(contexts, CONTEXT_SLOTS), CONTEXT_SLOTS))
-    held = docs.sparkSession.sparkContext.broadcast(table.arrays)
+    table = parts(*ratios(grams))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Ratios(*held.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([table.features(t.as_py()) for t in batch.column(0)], pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(table.features(batch.column(0))), pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], names=["x", "y"])
 
     got = texts.join(F.broadcast(fitted), "doc_id").select("text", F.col("toxic").cast("int")).mapInArrow(measured, "x array<double>, y int").toArrow()
     x, y = np.array(got.column("x").to_pylist(), dtype=float).reshape(-1, 5), got.column("y").to_numpy().astype(float)
@@ -236,24 +285,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1) of every row of docs; a null text is an empty one, and its score that of no evidence."""
-    held = docs.sparkSession.sparkContext.broadcast(model.arrays())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model.of(held.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t.as_py()) for t in batch.column(1)], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1)), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
 def ordinary(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, whose score is below threshold. No row moves between tasks."""
-    held, at = docs.sparkSession.sparkContext.broadcast(model.arrays()), docs.columns.index("text")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model.of(held.value)
         for batch in batches:
-            yield batch.filter(pa.array([model.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([s < threshold for s in model.scores(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

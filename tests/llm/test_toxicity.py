@@ -109,6 +109,31 @@ def test_only_allowed_labels_count(spark, learnt):
     assert a == b
 
 
+@pytest.mark.parametrize("held", [1 << 22, 1 << 17])
+def test_every_counted_code_keeps_its_ratio(spark, monkeypatch, held):
+    monkeypatch.setattr(toxicity, "HELD", held)
+    seen = spark.range(1, 200_001).selectExpr("id * 1234577 as code", "double(id) as ratio")
+    contexts = spark.range(1, 100_001).selectExpr("id * 7654321 as code", "double(-id) as ratio")
+    table = toxicity.parts(seen, contexts)
+    assert len(table.parts) == -(-300_000 // held)
+    codes = np.arange(1, 200_001, dtype=np.uint64) * np.uint64(1234577)
+    shared = np.arange(1, 100_001, dtype=np.uint64) * np.uint64(7654321) << np.uint64(BITS)
+    unseen = shared[~np.isin(shared, codes)]
+    got = table._needed(np.concatenate([codes, unseen, [np.uint64(1 << 59)]]))
+    assert (got.of(codes) == np.arange(1, 200_001)).all()
+    assert (got.of(unseen) == -np.arange(1, 100_001)[~np.isin(shared, codes)]).all() and got.of(np.array([1 << 59], dtype=np.uint64))[0] == 0
+
+
+def test_scores_by_parts(spark, learnt, monkeypatch):
+    docs, labels = learnt
+    one = fit(docs, labels)
+    monkeypatch.setattr(toxicity, "HELD", 500)
+    many = fit(docs, labels)
+    assert len(one.ratios.parts) == 1 and len(many.ratios.parts) > 3
+    a, b = (dict(map(tuple, scored(docs, m).collect())) for m in (one, many))
+    assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], abs_tol=1e-9) for k in a)
+
+
 def test_toxicity_edges(spark, learnt):
     docs, labels = learnt
     odd = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "scumzq " * 20_000, 3), (1, "scumzq " * 20_000, 3), (2, "12 %% !!", 4)], "doc_id long, text string, score int")
