@@ -278,10 +278,13 @@ def ann_search(spark, sf_dir):
 
 @query()
 def leader_clusters(spark, sf_dir):
-    """Sizes of the leader clusters of the sample in the order of ids, on its own."""
-    e = _vectors(spark, sf_dir).select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
-    _, labels = ann.leaders(ann._ordered(e, ann.SAMPLE)[1])
-    return spark.createDataFrame([(int(k), int((labels == k).sum())) for k in sorted(set(labels.tolist()))], "cluster_id int, n int")
+    """Sizes of the leader clusters: ann.SAMPLE vectors at most inserted in the order of ids, every other one with its nearest leader."""
+    e = _vectors(spark, sf_dir).select(F.col("vec_id").cast("long").alias("chunk_id"), F.col("embedding").alias("vector")).where(F.size("vector") > 0)
+    ids, vectors = ann._ordered(e, ann.SAMPLE)
+    centers, labels = ann.leaders(vectors)
+    taken = spark.createDataFrame(list(zip(ids, labels.tolist(), strict=True)), "chunk_id long, cluster_id int")
+    rest = ann.assigned(e.join(F.broadcast(taken.select("chunk_id")), "chunk_id", "left_anti"), centers)
+    return taken.select("cluster_id").unionAll(rest.select("cluster_id")).groupBy("cluster_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
 # Keyword search.
