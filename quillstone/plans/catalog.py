@@ -621,6 +621,14 @@ def delete_same_source(spark, sf_dir):
     return index.same_source(d, kept)
 
 
+@query()
+def delete_same_source_all(spark, sf_dir):
+    """Documents of the same type and path as an earlier one: the first of each is kept."""
+    d = _documents(spark, sf_dir)
+    kept = d.groupBy("source_type", F.trim("source_path").alias("source_path")).agg(F.min(F.col("doc_id").cast("long")).cast("string").alias("doc_id"))
+    return index.same_source(d, kept)
+
+
 @query("select cast(d.doc_id as varchar) as doc_id, coalesce(count(c.turn), 0) as n_chunks, coalesce(cast(sum(length(c.text)) as bigint), 0) as n_chars from documents d left join conversations c on c.conv_id = d.doc_id group by 1")
 def doc_stats(spark, sf_dir):
     """Chunks and characters of every document; the turns of a conversation are the chunks of the document of its number."""
@@ -665,8 +673,18 @@ def near_dup_docs(spark, sf_dir):
 
 @query("select count(*) as n, count(distinct doc_id) as n_documents, true as same from (select doc_id from documents where doc_id < 300)")
 def vector_store(spark, sf_dir):
-    """Vectors quantised, packed, written by bucket, read and unpacked."""
-    v = table(spark, sf_dir, "documents").where("doc_id < 300").select(F.col("doc_id").cast("string"), F.concat(F.lit("chunk_"), "doc_id", F.lit("_0")).alias("chunk_id"), F.col("text").alias("content"))
+    """vector_store_all over the ids that its SQL names."""
+    return _restored(spark, table(spark, sf_dir, "documents").where("doc_id < 300"))
+
+
+@query()
+def vector_store_all(spark, sf_dir):
+    """Vectors of all documents quantised, packed, written by bucket, read and unpacked."""
+    return _restored(spark, table(spark, sf_dir, "documents"))
+
+
+def _restored(spark, d: DataFrame) -> DataFrame:
+    v = d.select(F.col("doc_id").cast("string"), F.concat(F.lit("chunk_"), "doc_id", F.lit("_0")).alias("chunk_id"), F.col("text").alias("content"))
     q = index.quantized_vectors(embedding.embedded(v, embedding.HashingProvider()))
     path = f"{shared_dir(spark)}/vectors"
     write_table(packed(q), path)
