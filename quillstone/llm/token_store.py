@@ -14,7 +14,7 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +22,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm._shared import _BYTE, _OF_BYTES, _OF_WORDS, documents, fresh_path, small, stored
+from quillstone.llm._shared import documents, fresh_path, small, stored
 
 #: The id that ends each document.
 END = 0
 #: Text that is encoded at once, about.
 SLICE_BYTES = 4 << 20
-#: Units of text that a worker remembers the ids of, at most, and their bytes.
-REMEMBERED, LONGEST_KEPT = 800_000, 48
+#: Different units of text up to which a worker remembers more of them, the bytes of the longest, and the share of a call's
+#: units below which what is remembered is of no use.
+REMEMBERED, LONGEST_KEPT, STALE = 200_000, 48, 0.3
 STORE = "doc_id long, block int, pos long, ids array<int>"
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20)}
 
@@ -40,13 +41,14 @@ def _of_worker(key) -> list:
 
 
 def load(path: str):
-    """The tokenizer, read once a worker; strings of special tokens in a text are ordinary text."""
+    """The tokenizer of a file, read once a worker, as the library reads it: a special token's string in a text is that token."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     if not (kept := _of_worker(path)):
         kept.append(Tokenizer.from_file(path))
-        kept[0].encode_special_tokens = True
+        kept[0].no_truncation()
+        kept[0].no_padding()
     return kept[0]
 
 
@@ -55,6 +57,7 @@ _ODD_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202
 _ODD_BYTE = np.zeros(256, dtype=bool)
 _ODD_BYTE[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True  # what any of them begins with in UTF-8
 _NO_IDS = np.zeros(0, dtype=np.int32)
+_NO_PLACES = np.zeros(0, dtype=np.int64)
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
@@ -62,77 +65,90 @@ _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 class Encoder:
     """Ids of whole texts, all the texts of a call together.
 
-    A byte-level pre-tokenizer always parts a text at a single space that has no other blank beside it, and never joins across;
-    so the text's units between such spaces can be encoded apart. Equal units of a call are encoded once, many of them in one
-    string, in which each begins with the one token that has a space in front; a worker remembers a bounded number of them. Units that don't fit this (a text's first,
-    those with other blanks) are encoded one by one, and a tokenizer of another kind is given whole texts.
+    A byte-level pre-tokenizer always parts a text at a single space that has no other blank beside it, and never joins
+    across; so the text's units between such spaces can be encoded apart. Units are told apart by their bytes: equal ones of
+    a call are encoded once, many of them in one string, in which each begins with the one token that has a space in front;
+    a worker remembers a bounded number of them. Units that don't fit this (a text's first, those with other blanks) are
+    encoded one by one; texts that hold unusual blanks or the string of an added token, and all texts of a tokenizer of
+    another kind, are encoded whole.
     """
 
     def __init__(self, tokenizer, end: int) -> None:
-        self.tokenizer, self.end, self.memory = tokenizer, end, _of_worker(("memory", id(tokenizer)))
-        if len(kept := _of_worker(id(tokenizer))) == 2:
-            self.in_units, self.starts = kept
-            return
-        made = json.loads(tokenizer.to_str())
-        pre = made.get("pre_tokenizer") or {}
-        self.in_units = made["model"]["type"] == "BPE" and not made.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        vocab = tokenizer.get_vocab()
-        self.starts = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.starts[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True
-        kept += [self.in_units, self.starts]
-
-    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.tokenizer, self.end = tokenizer, end
+        if not (kept := _of_worker(id(tokenizer))):
+            made = json.loads(tokenizer.to_str())
+            pre, model = made.get("pre_tokenizer") or {}, made["model"]
+            added = [t["content"].encode() for t in made.get("added_tokens") or ()]
+            plain_model = model["type"] == "BPE" and not model.get("dropout") and not made.get("normalizer")
+            by_bytes = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+            vocab = tokenizer.get_vocab()
+            starts = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+            starts[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True
+            in_units = plain_model and by_bytes and all(t and not _BLANK[list(t)].any() for t in added)
+            kept += [in_units, added, starts, ({}, _NO_PLACES, _NO_PLACES, _NO_IDS)]
+        self.in_units, self.added, self.starts, _ = self.kept = kept
+
+    def _apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all, number of each text's)."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.fromiter(chain.from_iterable(found), dtype=np.int32), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(chain.from_iterable(found), dtype=np.int32), sizes
 
-    def _joined(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for units that hold one space each, in front."""
-        ids, sizes = [_NO_IDS], [np.zeros(0, dtype=np.int64)]
+        ids, sizes = [_NO_IDS], [_NO_PLACES]
         for k in range(0, len(units), 4096):
             part = units[k : k + 4096]
-            x, n = self._plain([b"".join(part).decode()])
-            cuts = np.flatnonzero(self.starts[x])
-            n = np.diff(np.append(cuts, len(x)))
+            x, _ = self._apart(["".join(part)])
+            n = np.diff(np.append(np.flatnonzero(self.starts[x]), len(x)))
             if len(n) != len(part):
-                x, n = self._plain([u.decode() for u in part])
+                x, n = self._apart(part)
             ids.append(x)
             sizes.append(n)
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _ids_of(self, h: np.ndarray, h2: np.ndarray, units: list[bytes], apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in table, number, table) of the ids of different units, h in order; what the worker met in an earlier call isn't encoded again."""
-        if not self.memory:
-            self.memory += [np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), _NO_IDS]
-        kh, kh2, kplace, kn, table = self.memory
-        at = np.minimum(np.searchsorted(kh, h), max(len(kh) - 1, 0))
-        met = (kh[at] == h) & (kh2[at] == h2) if len(kh) else np.zeros(len(h), dtype=bool)
-        place, n = np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=np.int64)
-        place[met], n[met] = kplace[at[met]], kn[at[met]]
-        parts, base = [table], len(table)
-        for new, encode in ((~met & ~apart, self._joined), (~met & apart, lambda us: self._plain([u.decode() for u in us]))):
-            k = np.flatnonzero(new)
-            x, many = encode([units[i] for i in k.tolist()])
-            place[k], n[k] = base + np.cumsum(many) - many, many
-            parts.append(x)
-            base += len(x)
-        table = np.concatenate(parts)
+    def _ids_of(self, units: list[bytes], apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in table, number, table) of the ids of different units; what the worker has met and kept isn't encoded again."""
         short = np.fromiter(map(len, units), dtype=np.int64, count=len(units)) <= LONGEST_KEPT
-        new = ~met & short
-        if len(kh) + new.sum() <= REMEMBERED and len(table) <= 8 * REMEMBERED:
-            order = np.argsort(np.concatenate([kh, h[new]]), kind="stable")
-            self.memory[:] = [np.concatenate([x, y[new]])[order] for x, y in ((kh, h), (kh2, h2), (kplace, place), (kn, n))] + [table]
-        else:  # begin anew with what this call has met
-            keep = np.flatnonzero(short)[:REMEMBERED]
-            total = np.cumsum(n[keep])
-            ids = table[np.repeat(place[keep] - total + n[keep], n[keep]) + np.arange(total[-1] if len(total) else 0)]
-            self.memory[:] = [h[keep], h2[keep], total - n[keep], n[keep], ids]
+        slots, kept_place, kept_n, table = self.kept[3]
+        slot = np.fromiter(map(slots.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+        if len(slots) > REMEMBERED and (slot >= 0).mean() < STALE:  # other texts than those before: begin anew
+            slots, kept_place, kept_n, table = {}, _NO_PLACES, _NO_PLACES, _NO_IDS
+            slot[:] = -1
+        met = slot >= 0
+        place, n = np.zeros(len(units), dtype=np.int64), np.zeros(len(units), dtype=np.int64)
+        place[met], n[met] = kept_place[slot[met]], kept_n[slot[met]]
+
+        def encode(which: np.ndarray, how) -> np.ndarray:
+            nonlocal table
+            k = np.flatnonzero(which & ~met)
+            ids, many = how([units[i].decode() for i in k.tolist()])
+            place[k], n[k] = len(table) + np.cumsum(many) - many, many
+            table = np.concatenate([table, ids])
+            return k
+
+        new = np.concatenate([encode(short & ~apart, self._joined), encode(short & apart, self._apart)])
+        if len(slots) <= REMEMBERED:
+            slots.update(zip([units[i] for i in new.tolist()], range(len(slots), len(slots) + len(new)), strict=True))
+            self.kept[3] = slots, np.append(kept_place, place[new]), np.append(kept_n, n[new]), table
+        encode(~short, self._apart)
         return place, n, table
 
+    def _cuts(self, texts: list[str], flat: bytes, b: np.ndarray, first: np.ndarray, last: np.ndarray, space: np.ndarray, blank: np.ndarray) -> np.ndarray:
+        """Where units begin: each text, and its single spaces."""
+        cut = np.zeros(len(b) + 1, dtype=bool)
+        cut[1 : len(b) - 1] = space[1:-1] & ~blank[:-2] & ~blank[2:]
+        odd = [_ODD_BLANKS.search] if _ODD_BYTE[b].any() else []
+        odd += [re.compile(re.escape(t.decode())).search for t in self.added if t in flat]
+        for i in (i for i, t in enumerate(texts) if any(found(t) for found in odd)) if odd else ():
+            cut[first[i] : last[i]] = False
+        cut[first] = True
+        return np.flatnonzero(cut[: len(b)])
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each text's followed by end; where each text's begin, and the end of all)."""
         if not self.in_units:
-            ids, n = self._plain(texts)
+            ids, n = self._apart(texts)
             return np.insert(ids, np.cumsum(n), self.end), np.concatenate([[0], np.cumsum(n + 1)])
         raw = [t.encode() for t in texts]
         flat = b"".join(raw)
@@ -142,27 +158,22 @@ class Encoder:
         b = np.frombuffer(flat, dtype=np.uint8)
         if not len(b):
             return np.full(len(raw), self.end, dtype=np.int32), np.arange(len(raw) + 1)
-        space = b == 32
-        blank = _BLANK[b]
-        cut = np.zeros(len(b) + 1, dtype=bool)
-        cut[1 : len(b) - 1] = space[1:-1] & ~blank[:-2] & ~blank[2:]
-        for i in (i for i, t in enumerate(texts) if _ODD_BLANKS.search(t)) if _ODD_BYTE[b].any() else ():
-            cut[first[i] : last[i]] = False
-        cut[last - 1] &= size == 0  # nothing follows
-        cut[first] = True  # and each text begins one
-        start = np.flatnonzero(cut[: len(b)])
+        space, blank = b == 32, _BLANK[b]
+        start = self._cuts(texts, flat, b, first, last, space, blank)
         stop = np.append(start[1:], len(b))
+        # Equal bytes, equal unit: Arrow's dictionary compares them.
+        offsets = pa.py_buffer(np.append(start, len(b)).astype(np.int64))
+        units = pa.Array.from_buffers(pa.large_binary(), len(start), [None, offsets, pa.py_buffer(flat)]).dictionary_encode()
+        unit = units.indices.to_numpy().astype(np.int64)
+        at = np.empty(len(units.dictionary), dtype=np.int64)
+        at[unit[::-1]] = np.arange(len(unit))[::-1]
         spaces = np.zeros(len(b) + 1, dtype=np.int32)
         np.cumsum(space, dtype=np.int32, out=spaces[1:])
-        apart = (spaces[stop] - spaces[start] != 1) | ~space[start] | blank[stop - 1]
-        h, h2 = _hashes(b, start, stop)
-        known, at, unit = np.unique(h, return_index=True, return_inverse=True)
-        place, n, table = self._ids_of(known, h2[at], [flat[x:y] for x, y in zip(start[at].tolist(), stop[at].tolist(), strict=True)], apart[at])
-        alike = np.flatnonzero(h2 != h2[at[unit]])  # in 64 bits, by chance
-        x, more = self._plain([flat[start[k] : stop[k]].decode() for k in alike])
-        unit[alike] = len(n) + np.arange(len(alike))
-        table, n, place = np.concatenate([table, x, [self.end]]).astype(np.int32), np.concatenate([n, more, [1]]), np.concatenate([place, len(table) + np.cumsum(more) - more, [len(table) + len(x)]])
-        ends = np.searchsorted(start, last, "left")  # behind each text's units
+        apart = (spaces[stop[at]] - spaces[start[at]] != 1) | ~space[start[at]] | blank[stop[at] - 1]
+        place, n, table = self._ids_of(units.dictionary.to_pylist(), apart)
+        # The end, as one more unit behind each text.
+        place, n, table = np.append(place, len(table)), np.append(n, 1), np.append(table, np.int32(self.end))
+        ends = np.searchsorted(start, last, "left")
         unit = np.insert(unit, ends, len(n) - 1)
         many = n[unit]
         total = np.concatenate([[0], np.cumsum(many)])
@@ -170,17 +181,6 @@ class Encoder:
         return ids, np.concatenate([[0], total[ends + np.arange(1, len(raw) + 1)]])
 
 
-def _hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each range; about a million bytes at a time, for the length of the powers' tables."""
-    cuts = np.unique(np.searchsorted(start, np.arange(0, len(values), 1 << 20)))
-    h = []
-    for x, y in zip(cuts, np.append(cuts[1:], len(start)), strict=True):
-        low, high = start[x], stop[y - 1]
-        part = _BYTE[values[low:high]]
-        h.append([r.ranges(part, start[x:y] - low, stop[x:y] - low) for r in (_OF_BYTES, _OF_WORDS)])
-    return np.concatenate([a for a, _ in h]) + (stop - start).astype(np.uint64), np.concatenate([b for _, b in h])
-
-
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Rows of (doc_id, text) in slices of about SLICE_BYTES of text, a row at least."""
     sizes = np.nan_to_num(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(float))

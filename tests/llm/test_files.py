@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillstone.llm import media
+from quillstone.llm import media, token_store
 from quillstone.llm._shared import documents
 from quillstone.llm.token_store import load, op5_token_store, read_tokens, spans, write_tokens
 
@@ -30,13 +30,48 @@ def test_tokens(spark, sf):
     assert len(got) == len(docs)
 
 
-def test_tokenizer_is_the_file():
-    plain, ours = Tokenizer.from_file(PATH), load(PATH)
-    plain.encode_special_tokens = True
+def held(texts):
+    """Asserts that the encoder's ids are the library's for each text, all encoded in one call."""
+    plain, encoder = Tokenizer.from_file(PATH), token_store.Encoder(load(PATH), 0)
+    ids, at = encoder(texts)
+    for i, text in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_encoder_gives_the_librarys_ids():
     random.seed(3)
-    parts = ["a", " ", "  ", "\n", "\t", "é", "it's ", "12", "<|endoftext|>", " ", "日本", " the", "\r\n", "!", "_"]
-    texts = ["".join(random.choices(parts, k=random.randint(0, 15))) for _ in range(3000)]
-    assert [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)] == [e.ids for e in ours.encode_batch_fast(texts, add_special_tokens=False)]
+    parts = ["a", " ", "  ", "\n", "\t", "é", "it's ", "12", "<|endoftext|>", "\xa0", "日本", " the", "\r\n", "!", "_", "\x1c", "\u200b", "<|end", "oftext|>", " x", ""]
+    for _ in range(150):
+        held(["".join(random.choices(parts, k=random.randint(0, 15))) for _ in range(20)])
+
+
+@pytest.mark.parametrize("n", [(1 << 20) - 1, 1 << 20, (1 << 20) + 1, (1 << 21) + 30])
+def test_texts_of_a_mebibyte_and_more(n):
+    held(["ab " * (n // 3) + "x" * (n % 3), "q w"])
+    held(["s " * (n // 2 - 9) + "word" * 12])  # the last word lies across the boundary
+    held(["w\xa0 x y " + "v " * (n // 2)])
+
+
+def test_one_unbroken_word():
+    held(["u" * ((1 << 20) + 1), "a", ""])
+
+
+def complement(text):
+    return text.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_take_for_one_another():
+    word, words = "a", []
+    for n in range(1, 13):
+        word += complement(word)
+        words += [word] if n > 9 else []
+    held([" ".join([*words, *map(complement, words), *words]), "x " + " ".join(map(complement, words))])
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_store, "REMEMBERED", 50)
+    for k in range(12):
+        held([" ".join(f"w{r}" for r in range(k * 40, k * 40 + 60)), "again the same words"])
 
 
 def test_tokens_edges(spark, tmp_path):
