@@ -27,7 +27,7 @@ from quillstone.llm._shared import documents, fresh_path, small, stored
 #: The id that ends each document.
 END = 0
 #: Text that is encoded at once, about.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Different units of text up to which a worker remembers more of them, the bytes of the longest, and the share of a call's
 #: units below which what is remembered is of no use.
 REMEMBERED, LONGEST_KEPT, STALE = 200_000, 48, 0.3
@@ -60,13 +60,16 @@ _NO_IDS = np.zeros(0, dtype=np.int32)
 _NO_PLACES = np.zeros(0, dtype=np.int64)
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_LETTER, _MARK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True  # an apostrophe may belong to letters
 
 
 class Encoder:
     """Ids of whole texts, all the texts of a call together.
 
-    A byte-level pre-tokenizer always parts a text at a single space that has no other blank beside it, and never joins
-    across; so the text's units between such spaces can be encoded apart. Units are told apart by their bytes: equal ones of
+    A byte-level pre-tokenizer always parts a text at a single space that has no other blank beside it, and between a letter
+    and a mark, and never joins across; so the text's units between such places can be encoded apart. Units are told apart by their bytes: equal ones of
     a call are encoded once, many of them in one string, in which each begins with the one token that has a space in front;
     a worker remembers a bounded number of them. Units that don't fit this (a text's first, those with other blanks) are
     encoded one by one; texts that hold unusual blanks or the string of an added token, and all texts of a tokenizer of
@@ -135,9 +138,10 @@ class Encoder:
         return place, n, table
 
     def _cuts(self, texts: list[str], flat: bytes, b: np.ndarray, first: np.ndarray, last: np.ndarray, space: np.ndarray, blank: np.ndarray) -> np.ndarray:
-        """Where units begin: each text, and its single spaces."""
+        """Where units begin: each text, its single spaces, its marks behind letters."""
         cut = np.zeros(len(b) + 1, dtype=bool)
         cut[1 : len(b) - 1] = space[1:-1] & ~blank[:-2] & ~blank[2:]
+        cut[1 : len(b)] |= _LETTER[b[:-1]] & _MARK[b[1:]]
         odd = [_ODD_BLANKS.search] if _ODD_BYTE[b].any() else []
         odd += [re.compile(re.escape(t.decode())).search for t in self.added if t in flat]
         for i in (i for i, t in enumerate(texts) if any(found(t) for found in odd)) if odd else ():
