@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 #: Characters that part words: the space and \t \n \v \f \r, which bytes.split() parts at as well.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,14 +21,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Taken from the session; set only where the session has none, as in tests."""
+    """The folder that driver and executors share, as the session names it.
+
+    Where it names none, a temporary one, if driver and executors are one process; on a cluster that is an error, as each
+    executor would write to a disk of its own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        import tempfile
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="quillstone-"))
+    return f"file://{_LOCAL[0]}"
+
 
-        found = f"file://{tempfile.mkdtemp(prefix='quillstone-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+#: The temporary folder of sessions that have no shared one and no executors.
+_LOCAL: list[str] = []
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -62,6 +74,18 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
+def fingerprint(kind: DataType, value: Column, seed: Column) -> Column:
+    """A 64-bit hash of a value of any type but a map, in which a null is a value: Spark's own hash passes nulls over, also within arrays and structs."""
+    marks = [F.isnull(value)]
+    if isinstance(kind, ArrayType):
+        marks += [F.size(value), F.transform(value, lambda x: fingerprint(kind.elementType, x, seed))]
+    elif isinstance(kind, StructType):
+        marks += [fingerprint(f.dataType, value.getField(f.name), seed) for f in kind.fields]
+    else:
+        marks += [value]
+    return F.xxhash64(seed, *marks)
+
+
 def crc32_text(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 

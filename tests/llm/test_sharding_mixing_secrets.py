@@ -5,9 +5,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone.llm import sharding
 from quillstone.llm._shared import documents
 from quillstone.llm.mixing import expanded, mix, op9_mixing, targets
 from quillstone.llm.secrets import find_secrets, op8_secrets, redacted, spelled
@@ -64,6 +66,50 @@ def test_sharding_edges(spark, edge, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(EDGE)
 
 
+NULLS = [
+    (1, "t", "en", None, [1, None], (None, "a")),
+    (1, "t", None, "en", [1, None], (None, "a")),
+    (1, "t", None, "en", [1], (None, "a")),
+    (1, "t", None, "en", [None, 1], (None, "a")),
+    (1, "t", None, "en", [1], ("a", None)),
+    (1, "t", None, "en", [], ("a", None)),
+    (1, "t", None, "en", None, ("a", None)),
+    (1, "t", None, "en", None, None),
+    (1, "t", None, "en", None, None),
+    (None, "t", None, "en", None, (None, None)),
+]
+
+
+def test_rows_that_differ_in_what_is_null_are_all_kept(spark, monkeypatch):
+    df = spark.createDataFrame(NULLS, "doc_id long, text string, lang string, source string, tags array<int>, extra struct<a: string, b: string>")
+    key = lambda rows: Counter(repr(tuple(r)[:6]) for r in rows)
+    want = key(df.collect())
+    for most in (4096, 1):
+        monkeypatch.setattr(sharding, "COPIES", most)
+        rows = shard(df, 3).collect()
+        assert key(rows) == want
+        laws(rows, 3, len(NULLS))
+
+
+def test_a_record_of_many_copies(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(7, "same")] * 900 + [(i, "x") for i in range(400)] + [(8, None)] * 50, "doc_id long, text string")
+    plain = sorted(map(tuple, shard(docs, 5, bucket_rows=100).collect()), key=repr)
+    monkeypatch.setattr(sharding, "COPIES", 16)
+    out = shard(docs, 5, bucket_rows=100)
+    rows = out.collect()
+    laws(rows, 5, 1350)
+    assert sorted(map(tuple, rows), key=repr) == plain  # the same law, whichever way copies are made
+    write_shards(out, str(tmp_path / "out"), 40)
+    got = []
+    for s in range(5):
+        files = sorted((tmp_path / "out" / f"shard={s}").glob("*.parquet"))
+        assert len(files) > 1
+        slots = [x for f in files for x in pq.read_table(f).column("slot").to_pylist()]
+        assert slots == list(range(270))
+        got += slots
+    assert len(got) == 1350
+
+
 def filled(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
