@@ -9,9 +9,9 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import sharding
+from quillstone.llm import mixing, sharding
 from quillstone.llm._shared import documents
-from quillstone.llm.mixing import expanded, mix, op9_mixing, targets
+from quillstone.llm.mixing import draws, expanded, mix, op9_mixing, targets
 from quillstone.llm.secrets import find_secrets, op8_secrets, redacted, spelled
 from quillstone.llm.sharding import op1_sharding, shard, write_shards
 
@@ -164,6 +164,44 @@ def test_complete_epochs_come_first(spark):
     assert heavy.where("doc_id < 315").count() > heavy.where("doc_id >= 315").count()
 
 
+@pytest.mark.parametrize(("most_sorted", "ranges"), [(2000, 1024), (3, 2), (1, 7)])
+def test_the_sample_is_that_of_an_exact_sort(spark, monkeypatch, most_sorted, ranges):
+    """What mix() takes, against sorting all keys of a source in Python."""
+    monkeypatch.setattr(mixing, "SORTED", most_sorted)
+    monkeypatch.setattr(mixing, "RANGES", ranges)
+    low = [(i, "x " * (1 + i % 9) + ("#" * 40 if i % 3 else ""), ("a", "b", None)[i % 3]) for i in range(400)]
+    docs = spark.createDataFrame(low + [(7000, "same words here", "b")] * 300 + [(1, None, "z"), (2, "", "z")], SCHEMA)
+    key, tie = draws(docs, 23, mixing.quality(F.col("text")))
+    drawn = docs.select("doc_id", "source", "text", key.alias("key"), tie.alias("tie")).collect()
+    sizes = Counter()
+    for r in drawn:
+        sizes[r["source"]] += count(r["text"])
+    want = Counter()
+    for s, target in filled(dict(sizes)).items():
+        rest = target - (epochs := int(target / sizes[s] + 1e-9) if sizes[s] else 0) * sizes[s]
+        at = 0
+        for r in sorted((r for r in drawn if r["source"] == s), key=lambda r: (r["key"], r["tie"])):
+            n = count(r["text"])
+            more = epochs < 2 and rest > 0 and at + n / 2 <= rest
+            at += n
+            want[r["doc_id"], epochs + more if sizes[s] else 0] += 1
+    for keep in (None, ("doc_id", "source")):
+        rows = mix(docs, keep=keep).collect()
+        assert Counter((r["doc_id"], r["repeats"]) for r in rows) == want
+    assert len({k[1] for k in want if k[0] == 7000}) == 2  # the cut falls within the equal rows
+
+
+def test_one_repeated_row(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 16)
+    docs = spark.createDataFrame([(1, "a b c", "s")] * 1000 + [(2, "d e f", "t")] * 10, SCHEMA)
+    rows = mix(docs).collect()
+    want = filled({"s": 3000, "t": 30})
+    taken = Counter()
+    for r in rows:
+        taken[r["source"]] += r["taken"]
+    assert len(rows) == 1010 and all(abs(taken[s] - want[s]) <= 1.5 for s in want) and {r["repeats"] for r in rows} <= {0, 1, 2}
+
+
 def test_mixing_edges(spark, edge):
     out = mix(edge)
     rows = out.collect()
