@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
@@ -97,10 +98,6 @@ def unit(*cols: Column) -> Column:
 
 # Hashing of words, with numpy, of whole texts at once.
 
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def _inverse(a: int) -> int:
     return pow(a, -1, 1 << 64)
 
@@ -138,27 +135,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_OF_BYTES = _Rolling(0x9E3779B97F4A7C15)
 _OF_WORDS = _Rolling(0xD6E8FEB86659FD93)
 _OF_WORDS_2 = _Rolling(0xA0761D6478BD642F)
 
 
+def word_pairs(text: str | bytes | None) -> np.ndarray:
+    """128 bits of each word of text, in order, as (n, 2): the halves of a digest of its bytes, independent of each other."""
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raw.split())), dtype="<u8").reshape(-1, 2)
+
+
 def word_hashes(text: str | bytes | None) -> np.ndarray:
     """A 64-bit hash of each word of text, in order."""
-    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
-    words = raw.split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    flat = np.frombuffer(b"".join(words), dtype=np.uint8)
-    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    end = np.cumsum(size)
-    return _OF_BYTES.ranges(_BYTE[flat], end - size, end) + size.astype(np.uint64)
+    return np.ascontiguousarray(word_pairs(text)[:, 0])
 
 
 def window_hashes(words: np.ndarray, size: int, second: bool = False) -> np.ndarray:
-    """A hash of each run of size words; second gives another, independent one."""
+    """A hash of each run of size words; second takes another base, for the other halves of word_pairs()."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     start = np.arange(n)
-    return (_OF_WORDS_2 if second else _OF_WORDS).ranges(words if not second else mix(words + np.uint64(77)), start, start + size)
+    return (_OF_WORDS_2 if second else _OF_WORDS).ranges(words, start, start + size)

@@ -5,15 +5,16 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillstone.llm import ngram_join
-from quillstone.llm._shared import documents, window_hashes, word_hashes
+from quillstone.llm import ngram_join, substring_dedup
+from quillstone.llm._shared import documents, window_hashes, word_hashes, word_pairs
 from quillstone.llm.decontamination import Items, contaminated, decontaminated, greedy_tiles, op3_decontamination, plain_words
 from quillstone.llm.ngram_join import one_of_each, op2_ngram_join, shingles, similar
-from quillstone.llm.substring_dedup import ANCHOR, COVER, PERIOD, WINDOW, deduplicated, op10_substring_dedup
+from quillstone.llm.substring_dedup import ANCHOR, COVER, PERIOD, WINDOW, deduplicated, op10_substring_dedup, removed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -55,6 +56,20 @@ def test_substrings(spark, sf):
     assert sorted(map(tuple, op10_substring_dedup(spark, sf).collect()), key=repr) == brute_repeats(docs)
 
 
+def complement(text):
+    return text.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_take_for_one_another():
+    word = "a"
+    for _ in range(12):
+        word += complement(word)
+    both = word_pairs(f"{word} {complement(word)}")
+    assert len(np.unique(both)) == 4
+    a, b = (word_pairs(" ".join([*(f"x{i}" for i in range(34)), w])) for w in (word, complement(word)))
+    assert (substring_dedup._pairs(a) != substring_dedup._pairs(b)).all()
+
+
 def planted():
     p, docs = words(60, 1), []
     for k in range(24):
@@ -75,6 +90,17 @@ def test_planted_passages(spark, tmp_path):
     assert deduplicated(spark.read.parquet(path).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [1, 7])
+def test_rows_repeated_many_times(spark, monkeypatch, blocks):
+    monkeypatch.setattr(substring_dedup, "COPIES", 3)
+    p = words(40, 3)
+    docs = [(1, " ".join(p))] * 50 + [(2, "too short")] * 20 + [(None, None)] * 9 + [(None, "")] * 4 + [(3, " ".join(["z", *p]))] + [(4, " ".join(words(60, 9)))] * 3 + [(5, " ".join(words(50, 11)))]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, copies int")
+    got = removed(df, substring_dedup._digest, substring_dedup.RESULT, 4000 // blocks).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_repeats(docs)
+    assert Counter(r["doc_id"] for r in deduplicated(df).collect()) == Counter(i for i, _ in docs)
+
+
 # Near copies.
 
 
