@@ -4,6 +4,10 @@ Numbers and dates that pass their kind's validation (check digits, ranges, the c
 format. The replacement is a keyed permutation of all valid values of the kind: a Feistel network whose two halves are residues
 modulo two numbers about the root of the domain's size, walked until the result is in the domain. So equal values have equal
 pseudonyms in all documents however they are written, different ones differ, and who holds the key can undo it.
+
+Days up to the 12th of a month go to such days and later ones to later ones, in every spelling, as 03/04/2001 can be read in
+two ways (here: day first) and 25/04/2001 in one. International phone numbers are parted by the public list of country codes,
+wherever separators stand; ten digits without a code are numbers of code 1.
 """
 
 from __future__ import annotations
@@ -113,46 +117,36 @@ def _card(m: str) -> Coded:
 
 def _ip(m: str) -> Coded:
     parts = [int(x) for x in m.split(".")]
-    if any(x > 255 for x in parts) or not 1 <= parts[0] <= 223 or any(len(x) > 1 and x[0] == "0" for x in m.split(".")):
+    if any(x > 255 for x in parts) or any(len(x) > 1 and x[0] == "0" for x in m.split(".")):
         return None
-    number = ((parts[0] - 1) << 24) + (parts[1] << 16) + (parts[2] << 8) + parts[3]
-    return "ip", 223 << 24, number, lambda x: f"{(x >> 24) + 1}.{x >> 16 & 255}.{x >> 8 & 255}.{x & 255}"
+    number = (parts[0] << 24) + (parts[1] << 16) + (parts[2] << 8) + parts[3]
+    return "ip", 1 << 32, number, lambda x: f"{x >> 24}.{x >> 16 & 255}.{x >> 8 & 255}.{x & 255}"
 
 
 def _date(m: str) -> Coded:
     mark = next(c for c in m if not c.isdigit())
     parts = m.split(mark)
     first = len(parts[0]) == 4
-    y, mo, d = (parts if first else [parts[2], parts[1], parts[0]])
+    y, mo, d = parts if first else [parts[2], parts[1], parts[0]]
     swap = not first and mark == "/" and int(mo) > 12  # month first
     try:
         day = date(int(y), int(d) if swap else int(mo), int(mo) if swap else int(d))
     except ValueError:
         return None
-    low, high = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
-    if not low <= day.toordinal() <= high:
+    if not date(1900, 1, 1) <= day <= date(2099, 12, 31):
         return None
-    # With slashes a day beyond 12 shows which comes first; the pseudonym keeps to such days, so it reads the same way.
-    if not first and mark == "/" and (swap or day.day > 12):
-        days = _LATE_DAYS
-        at = days.index(day.toordinal())
-        label, size = "date-late", len(days)
-    elif not first and mark == "/":
-        days = _EARLY_DAYS
-        at, label, size = days.index(day.toordinal()), "date-early", len(days)
-    else:
-        days, at, label, size = None, day.toordinal() - low, "date", high - low + 1
+    days, label = (_LATE_DAYS, "date-late") if day.day > 12 else (_EARLY_DAYS, "date-early")
     padded = len(parts[0]) == 2 and len(parts[1]) == 2 and not first and (parts[0][0] == "0" or parts[1][0] == "0")
 
     def write(x: int) -> str:
-        t = date.fromordinal(low + x if days is None else days[x])
+        t = date.fromordinal(days[x])
         if first:
             return f"{t.year:04d}{mark}{t.month:02d}{mark}{t.day:02d}"
         width = 2 if padded else 1
         a, b = (t.month, t.day) if swap else (t.day, t.month)
         return f"{a:0{width}d}{mark}{b:0{width}d}{mark}{t.year:04d}"
 
-    return label, size, at, write
+    return label, len(days), days.index(day.toordinal()), write
 
 
 class _Days:
@@ -191,25 +185,25 @@ def _ssn(m: str) -> Coded:
     return "ssn", 898 * 99 * 9999, number, write
 
 
+# Country calling codes of one and of two digits; all others have three.
+ONE_DIGIT = ("1", "7")
+TWO_DIGITS = (
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56",
+    "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
+
+
+def country_code(digits: str) -> str:
+    return digits[:1] if digits[:1] in ONE_DIGIT else digits[:2] if digits[:2] in TWO_DIGITS else digits[:3]
+
+
 def _phone(m: str) -> Coded:
     d = _digits(m)
-    code = re.match(r"\+(\d{1,3})[ .(-]", m)
-    head = code[1] if code else "1" if m[0] == "+" and d[0] == "1" and len(d) == 11 else d[: 2 if m[0] == "+" else 0]
+    head = country_code(d) if m[0] == "+" else ""
     own = d[len(head) :]
-    if (head in ("", "1")) and len(own) == 10:
-        if own[0] < "2" or own[3] < "2":
-            return None
-        number = ((int(own[:3]) - 200) * 800 + int(own[3:6]) - 200) * 10_000 + int(own[6:])
-
-        def write(x: int) -> str:
-            rest, line = divmod(x, 10_000)
-            a, b = divmod(rest, 800)
-            return _written(m, f"{head}{a + 200}{b + 200}{line:04d}")
-
-        return "phone1", 6_400_000_000, number, write
-    if m[0] != "+" or head[0] == "0" or head == "1" or not 7 <= len(own) <= 12:
+    if head[:1] == "0" or len(own) < 5 or len(d) > 15 or (head in ("", "1") and len(own) != 10):
         return None
-    return f"phone{head}-{len(own)}", 10 ** len(own), int(own), lambda x: _written(m, f"{head}{x:0{len(own)}d}")
+    return f"phone{head or '1'}-{len(own)}", 10 ** len(own), int(own), lambda x: _written(m, f"{head}{x:0{len(own)}d}")
 
 
 def _by_class(s: str) -> tuple[str, int, int, Callable[[int], str]]:
