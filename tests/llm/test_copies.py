@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -217,6 +219,80 @@ def test_seeds_decide_like_tiling_everything():
         assert {hit[0] for hit in index.find(text)} == want
 
 
+def naive_tiles(t, p, least):
+    """Greedy string tiling as it is defined: the longest match of free words, the first in the text and then in the pattern, one at a time."""
+    free_t, free_p, tiles = [True] * len(t), [True] * len(p), []
+    while True:
+        best = (0, 0, 0)
+        for j in range(len(t)):
+            for i in range(len(p)):
+                k = 0
+                while i + k < len(p) and j + k < len(t) and free_p[i + k] and free_t[j + k] and p[i + k] == t[j + k]:
+                    k += 1
+                best = max(best, (k, -j, -i))
+        k, j, i = best[0], -best[1], -best[2]
+        if k < least:
+            return tiles
+        tiles.append((i, j, k))
+        free_t[j : j + k] = free_p[i : i + k] = [False] * k
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), min_size=1, max_size=20))
+def test_tiles_are_those_of_the_definition(text, pattern):
+    t, p = (word_hashes(" ".join(map(str, x))) for x in (text, pattern))
+    assert greedy_tiles(t, p, 2) == naive_tiles(t.tolist(), p.tolist(), 2)
+
+
+def test_tiling_repeated_words_takes_linear_time():
+    began = time.process_time()
+    items = Items([(1, "same " * 400), (2, "same other " * 300)])
+    assert [hit[:3] for hit in items.find("same " * 100_000)] == [(1, 400, 400)]
+    assert {hit[0] for hit in items.find("same other " * 50_000 + "same " * 1000)} == {1, 2}
+    assert time.process_time() - began < 20
+
+
+def plain_split(text):
+    """Words as the operator sees them, written apart from it: letters and digits of any script; unspaced scripts by character."""
+    out, word = [], ""
+    for c in (text or "").lower():
+        solid = "\u0e00" <= c <= "\u0eff" or "\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff"
+        if solid or not (c.isalnum() or (ord(c) > 127 and unicodedata.category(c)[0] in "LMN")):
+            out += [word] if word else []
+            word = ""
+            out += [c] if solid else []
+        else:
+            word += c
+    return out + ([word] if word else [])
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    """op3's rows against tiling every document with every item."""
+    r = random.Random(12)
+    texts = [" ".join(words(24, 40 + i, 90)) for i in range(8)] + ["东西南北春夏秋冬天地玄黄", "the «café» isn’t open — ask “Zoë” at ten"]
+    docs = []
+    for k in range(60):
+        text, w = words(50, 300 + k, 90), plain_split(r.choice(texts))
+        parts = [w[: len(w) // 3], w[len(w) // 3 : len(w) * 2 // 3], w[len(w) * 2 // 3 :]]
+        r.shuffle(parts)
+        for part in parts:
+            text[(at := r.randrange(len(text))) : at] = part if r.random() < 0.8 else []
+        docs.append((k, " ".join(text)))
+    docs += [(60, "x" + texts[8] + "y"), (61, "THE CAFÉ ISN'T OPEN, ASK ZOË AT TEN"), (62, None), (63, ""), (61, "twice: " + texts[0])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = []
+    for i, text in docs:
+        for k, item in enumerate(texts):
+            p = plain_split(item)
+            tiles = naive_tiles(plain_split(text), p, 4)
+            n = sum(x[2] for x in tiles)
+            if tiles and n >= 0.6 * len(p):
+                want.append((i, k, len(p), n, n / len(p), len(tiles), tiles[0][2]))
+    assert len(want) > 20 and {k for _, k, *_ in want} >= {8, 9}
+    assert sorted(map(tuple, op3_decontamination(spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_decontamination(spark, sf):
     bench = dict(map(tuple, spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()))
     docs = [(r["doc_id"], r["text"]) for r in documents(spark, sf).collect()]
