@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm._shared import documents, fresh_path
+from quillstone.llm._shared import documents, fresh_path, stored
 
 WIDTH = 576
-SEQUENCE = "page_id long, position int, kind string, text string, digest string, caption string"
+#: Digests of payloads that a task remembers so as not to store them again; beyond, a payload may be stored more than once.
+REMEMBERED = 200_000
+SEQUENCE = "page_id long, position int, n_items int, kind string, text string, digest string, caption string, before string, after string"
 DECODED = "digest string, width int, height int, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -75,10 +77,14 @@ def feature(samples: np.ndarray) -> str:
 
 
 class _Sequence(HTMLParser):
-    """Text between media and media references, in order. A figure's caption goes to its media; else the alt text does."""
+    """Text between media and media references, in order. A figure's caption goes to its media; else the alt text does.
+
+    A caption ends with its figure and with the page at the latest; if no media takes it, it is text.
+    """
 
     HIDDEN = frozenset(("script", "style", "template", "noscript"))
     MEDIA = frozenset(("img", "audio", "video", "source", "embed"))
+    PARTING = frozenset(("p", "div", "br", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "title"))
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -91,34 +97,49 @@ class _Sequence(HTMLParser):
             self.items.append({"kind": "text", "text": text})
         self.text = []
 
+    def end_caption(self) -> None:
+        if self.caption is None:
+            return
+        said, self.caption = " ".join("".join(self.caption).split()), None
+        media = [item for item in self.items[self.figure :] if item["kind"] == "media"] if self.figure is not None else []
+        for item in media:
+            item["caption"] = said
+        if not media:
+            self.text += [" ", said, " "]
+
+    def end(self) -> list[dict]:
+        self.close()
+        self.end_caption()
+        self.flush()
+        return self.items
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in self.HIDDEN:
             self.hidden += 1
         elif tag == "figure":
+            self.end_caption()
             self.flush()
             self.figure = len(self.items)
         elif tag == "figcaption":
+            self.end_caption()
             self.caption = []
         elif tag in self.MEDIA and (ref := dict(attrs).get("src")):
             self.flush()
             digest = ref.removeprefix("urn:sha256:") if ref.startswith("urn:sha256:") else hashlib.sha256(ref.encode("utf-8", "replace")).hexdigest()
             self.items.append({"kind": "media", "digest": digest, "caption": dict(attrs).get("alt")})
-        elif tag in ("p", "div", "br", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "title"):
-            self.text.append(" ")
+        elif tag in self.PARTING:
+            (self.text if self.caption is None else self.caption).append(" ")
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for item in self.items[self.figure if self.figure is not None else len(self.items) :]:
-                if item["kind"] == "media":
-                    item["caption"] = said
-            self.caption = None
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag == "figure":
+            self.end_caption()
             self.figure = None
-        else:
-            self.text.append(" " if tag in ("p", "div", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6") else "")
+        elif tag in self.PARTING:
+            (self.text if self.caption is None else self.caption).append(" ")
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
@@ -128,25 +149,34 @@ class _Sequence(HTMLParser):
 def parse(html: str | None) -> list[dict]:
     parser = _Sequence()
     parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    return parser.items
+    return parser.end()
+
+
+def _placed(items: list[dict]) -> Iterator[dict]:
+    """items with their positions, those of media with the text right before and after them."""
+    for at, item in enumerate(items):
+        row = item | {"position": at, "n_items": len(items)}
+        if item["kind"] == "media":
+            row |= {"before": items[at - 1].get("text") if at else None, "after": items[at + 1].get("text") if at + 1 < len(items) else None}
+        yield row
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fields = ("page_id", "position", "kind", "text", "digest", "caption")
-    types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
+    fields = [f.split()[0] for f in SEQUENCE.split(", ")]
+    types = (pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 6)
     for batch in batches:
         for k in range(0, batch.num_rows, 1024):
-            rows = [{"page_id": i, "position": at} | item for i, html in zip(*(c.to_pylist() for c in batch.slice(k, 1024).columns), strict=True) for at, item in enumerate(parse(html))]
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(f) for r in rows], t) for f, t in zip(fields, types, strict=True)], names=list(fields))
+            pages = zip(*(c.to_pylist() for c in batch.slice(k, 1024).columns), strict=True)
+            rows = [{"page_id": i} | row for i, html in pages for row in _placed(parse(html))]
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(f) for r in rows], t) for f, t in zip(fields, types, strict=True)], names=fields)
 
 
 def sequences(pages: DataFrame) -> DataFrame:
     """Rows of SEQUENCE for pages (page_id, html): each page's items by position from 0, of kind text or media.
 
-    digest is the reference's own if it reads urn:sha256:..., else the sha256 of the reference. A null or empty page, or one
-    that holds neither, gives no rows; unclosed and unknown tags are read as a browser would. Other columns are ignored.
+    digest is the reference's own if it reads urn:sha256:..., else the sha256 of the reference; before and after are the texts
+    beside a media item, null where there is none. A null or empty page, or one that holds neither, gives no rows; unclosed
+    and unknown tags are read as a browser would. Other columns are ignored.
     """
     return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(_parsed, SEQUENCE)
 
@@ -171,15 +201,21 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def described(media: DataFrame) -> DataFrame:
     """Rows of DECODED for stored media (digest, media), one for each digest: decoded, measured, the payload itself left behind.
 
-    n_bytes is without the filling of bytes 255. Media that can't be decoded have nulls there.
+    n_bytes is without the filling of bytes 255. Media that can't be decoded have nulls there. The rows are stored, so that in
+    a join on digests those that many pages show can be split.
     """
     each = media.select("digest", "media").mapInArrow(_described, DECODED)
-    return each.groupBy("digest").agg(*[F.first(c).alias(c) for c in each.columns if c != "digest"])
+    return stored(each.groupBy("digest").agg(*[F.first(c).alias(c) for c in each.columns if c != "digest"]), "media-described")
 
 
 def resolved(items: DataFrame, media: DataFrame) -> DataFrame:
-    """items of sequences() with what described() gives for their digests, null for text and where nothing is stored."""
-    return items.join(media, "digest", "left")
+    """items of sequences() with what described() gives for their digests, null for text and where nothing is stored.
+
+    Text has no digest and doesn't move; a digest that many pages show is split by Spark's handling of skewed joins.
+    """
+    shown = items.where(F.col("digest").isNotNull()).join(media, "digest", "left")
+    text = items.where(F.col("digest").isNull()).withColumns({c: F.lit(None).cast(t) for c, t in media.dtypes if c != "digest"})
+    return shown.unionByName(text)
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +232,7 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pages.append(f'<article><p>Text as an image</p><figure><img src="urn:sha256:{digest.hex()}"><figcaption>{len(raw)} bytes</figcaption></figure><p>End</p></article>')
                 digests.append(digest.hex())
                 media.append(None if digest in seen else image)
-                if len(seen) < 1_000_000:
+                if len(seen) < REMEMBERED:
                     seen.add(digest)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pages), pa.array(digests), pa.array(media, pa.binary())], names=["page_id", "html", "digest", "media"])
 
@@ -212,5 +248,6 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     store_texts(documents(spark, sf_dir), path)
     kept = spark.read.schema("page_id long, html string, digest string, media binary").parquet(path)
     shown = sequences(kept.select("page_id", "html")).where(F.col("kind") == "media")
-    found = resolved(shown, described(kept.where(F.col("media").isNotNull())))
-    return found.select(F.col("page_id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    found = shown.join(described(kept.where(F.col("media").isNotNull())), "digest", "left")
+    measured = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return found.select(F.col("page_id").alias("doc_id"), *measured, "position", "n_items", "before", "after", "caption")

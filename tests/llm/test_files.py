@@ -107,7 +107,7 @@ def test_media(spark, sf):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
         image = media.to_png(full)
         assert (r["media_bytes"], r["media_sha256"]) == (len(image), hashlib.sha256(image).hexdigest())
-        assert r["position"] == 1 and r["caption"] == f"{len(raw)} bytes"
+        assert (r["position"], r["n_items"], r["before"], r["after"]) == (1, 3, "Text as an image", "End") and r["caption"] == f"{len(raw)} bytes"
         assert seen.setdefault(raw, r["feature"]) == r["feature"]
 
 
@@ -131,6 +131,26 @@ def test_sequence():
     assert media.parse(None) == media.parse("") == media.parse("<p> </p>") == []
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<figure><img src="a"><figcaption>c<p>x</figure>behind', [("media", "c x"), ("text", "behind")]),
+        ("<figure><pre>code</pre><figcaption>Listing 1</figcaption></figure>after", [("text", "code Listing 1 after")]),
+        ("a<figcaption>left open <b>b</b>", [("text", "a left open b")]),
+        ('<figure><img src="a"><figcaption>one</figcaption><img src="b"></figure>', [("media", "one"), ("media", None)]),
+        ('<figcaption>of no figure</figcaption><img src="a" alt="A">', [("text", "of no figure"), ("media", "A")]),
+    ],
+)
+def test_no_text_is_lost(html, want):
+    assert [(i["kind"], i.get("text") or i.get("caption")) for i in media.parse(html)] == want
+
+
+def test_media_hold_the_text_beside_them(spark):
+    pages = spark.createDataFrame([(1, '<p>x y</p><img src="a"><img src="b"><p>z</p>')], "page_id long, html string")
+    rows = sorted(media.sequences(pages).collect(), key=lambda r: r["position"])
+    assert [(r["kind"], r["before"], r["after"], r["n_items"]) for r in rows] == [("text", None, None, 4), ("media", "x y", None, 4), ("media", None, "z", 4), ("text", None, None, 4)]
+
+
 def test_resolving(spark, sf):
     pages = spark.createDataFrame([(1, '<p>x</p><img src="urn:sha256:d1"><img src="urn:sha256:d2"><img src="urn:sha256:gone">', 0), (2, None, 0), (1, "", 0)], "page_id long, html string, position int")
     stored = spark.createDataFrame([("d1", media.to_png(b"\x01" * 576)), ("d1", media.to_png(b"\x01" * 576)), ("d2", b"damaged")], "digest string, media binary")
