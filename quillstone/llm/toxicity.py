@@ -35,6 +35,8 @@ LABELS_BROADCAST = 2_000_000
 THRESHOLD = 0.3
 #: Weights of the features and 1 where the labels don't hold both classes: nothing is known, every score is 0.018.
 UNFITTED = np.array([0.0, 0.0, 0.0, 0.0, 0.0, -4.0])
+#: The same where the models know both classes, but the documents left for the regression are of one: the mean ratio decides.
+BY_RATIO = np.array([2.0, 0.0, 0.0, 1.0, 0.0, -1.5])
 _LETTER = np.array([chr(c).isalpha() or c >= 512 for c in range(1024)])
 
 
@@ -257,8 +259,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic), held-out rows left alone.
 
     Of the rest, 9 of 16 parts by crc32 of the id are counted, and up to FITTED documents of the other 3 fit the regression.
-    A document with several labels is toxic if one says so; null labels are left out. Without both classes among
-    those that fit the regression, every score is the same low one.
+    A document with several labels is toxic if one says so; null labels are left out. Without both classes among those that
+    fit the regression, the mean ratio is weighed by BY_RATIO; without both among the counted ones, every score is the same
+    low one.
     """
     labels = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     part = F.pmod(crc32_id(F.col("doc_id")), F.lit(16))
@@ -279,7 +282,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     x, y = np.array(got.column("x").to_pylist(), dtype=float).reshape(-1, 5), got.column("y").to_numpy().astype(float)
     mean, scale = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(5), np.ones(5))
     if len(np.unique(y)) < 2:
-        return Model(table, mean, scale, UNFITTED)
+        both = grams.agg(F.max("toxic") * F.max("ordinary")).first()[0] or 0.0
+        return Model(table, np.zeros(5), np.ones(5), BY_RATIO if both > 0 else UNFITTED)
     return Model(table, mean, scale, logistic(np.c_[(x - mean) / scale, np.ones(len(x))], y))
 
 

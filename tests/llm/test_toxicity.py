@@ -69,6 +69,51 @@ def test_kneser_ney(spark):
     assert contexts.count() == len({c >> BITS for c in got})
 
 
+def plain_features(text, seen, counts):
+    """A document's features by dictionaries of the counted grams: each word's sum of ratios, unseen grams by their context's backoff weights."""
+
+    def weight(context, c):
+        same = [x for x in counts[c] if x[:-1] == context]
+        total = sum(counts[c][x] for x in same)
+        return DISCOUNT * len(same) / total if total else 1.0
+
+    contexts = {g[:-1] for n in counts.values() for g in n}
+    words = []
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        ratio = 0.0
+        for g in grams(word):
+            ratio += seen[code(g)] if code(g) in seen else math.log(weight(g[:-1], "t") / weight(g[:-1], "o")) if g[:-1] in contexts else 0.0
+        words.append(ratio)
+    if not words:
+        return [0.0] * 5
+    top = sorted(words, reverse=True)[:3]
+    return [sum(words) / len(words), top[0], sum(top) / len(top), sum(w > 3 for w in words) / len(words) ** 0.5, math.log1p(len(words))]
+
+
+def test_scores_against_plain_python(spark):
+    r = random.Random(4)
+    make = lambda a: " ".join("".join(r.choices(a, k=r.randint(1, 7))) for _ in range(12))
+    rows = [(i, make("abcx" if i % 4 == 0 else "abcd")) for i in range(120)]
+    labels = [(i, int(i % 4 == 0)) for i in range(120)]
+    crc = lambda i: zlib.crc32(str(i).encode())
+    learnt = [i for i in range(120) if crc(i) % 4 != 2]
+    counted = [i for i in learnt if crc(i) % 16 < 12]
+    toxic, common = (sum((grams(rows[i][1]) for i in counted if labels[i][1] == c), []) for c in (1, 0))
+    seen, counts = plain_ratios(toxic, common), {"t": Counter(toxic), "o": Counter(common)}
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    fitted = [i for i in learnt if crc(i) % 16 >= 12]
+    x, y = np.array([plain_features(rows[i][1], seen, counts) for i in fitted]), np.array([labels[i][1] for i in fitted], dtype=float)
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    z = np.c_[(x - mean) / scale, np.ones(len(x))]
+    w = np.zeros(6)
+    for _ in range(20000):  # gradient ascent on the ridge-penalised likelihood
+        w += 0.02 * (z.T @ (y - 1 / (1 + np.exp(-z @ w))) - w)
+    for text in [rows[0][1], rows[1][1], "abc unseen zzz", "", make("abcx")]:
+        logit = np.append((np.array(plain_features(text, seen, counts)) - mean) / scale, 1.0) @ w
+        want = 1 / (1 + math.exp(-np.clip(logit, -30, 30)))
+        assert math.isclose(model.score(text), want, abs_tol=2e-4)
+
+
 def corpus(n=900):
     r = random.Random(5)
     common = ["".join(r.choices("aeiou" + "bcdfgl", k=r.randint(2, 7))) for _ in range(300)]
@@ -152,6 +197,24 @@ def test_toxicity_edges(spark, learnt):
     assert np.isclose(fit(docs, twice).score("a scumzq"), model.score("a scumzq"))
 
 
+def test_one_class_left_for_the_regression(spark, learnt):
+    docs, labels = learnt
+    part = toxicity.F.pmod(toxicity.crc32_id(toxicity.F.col("doc_id")), toxicity.F.lit(16))
+    some = labels.where((part < 12) | (toxicity.F.col("toxic") == 0))
+    got = scored(docs, fit(docs, some)).collect()
+    means = [np.mean([r["score"] for r in got if (r["doc_id"] % 9 == 0) == t]) for t in (True, False)]
+    assert means[0] > means[1] + 0.1
+
+
+def test_held_out_quality_on_the_given_table(spark):
+    """Of held-out documents with labels, at sf0.1: most toxic ones are caught, few others are."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [(labels[r["doc_id"]], r["predicted"]) for r in op7_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
+    toxic, rest = [p for y, p in got if y == 1], [p for y, p in got if y == 0]
+    assert len(toxic) > 20 and sum(toxic) >= 0.8 * len(toxic) and sum(rest) <= 0.03 * len(rest), (sum(toxic), len(toxic), sum(rest), len(rest))
+
+
 def test_query(spark, sf):
     rows = op7_toxicity(spark, sf).collect()
     assert all(r["predicted"] == int(r["score"] >= 0.3) for r in rows) and len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
