@@ -150,7 +150,8 @@ def _leaves(texts: DataFrame) -> DataFrame:
     done = None
     for level in range(1, DEPTH + 1):
         path = f"p{level}"
-        sizes = rows.groupBy(path).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        # Stored, so that Spark can split a path that many texts go in the join that follows.
+        sizes = stored(rows.groupBy(path).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "join-sizes")
         rows = rows.join(sizes, path)
         leaf = rows.where(F.col("size") <= LEAF) if level < DEPTH else rows
         leaf = leaf.select(F.col(path).alias("leaf"), "size", "run", "k1", "k2")

@@ -176,6 +176,27 @@ def test_tiles_of_a_large_leaf(spark, monkeypatch):
     assert 0.98 * all_ <= found <= all_
 
 
+def test_recall_on_a_large_family(spark):
+    """1,500 near copies of one text, about 0.8 to 1 alike, with the operator's own constants: their links, against all pairs."""
+    r, base = random.Random(9), words(140, 77, 10**6)
+    docs = []
+    for i in range(1500):
+        w = list(base)
+        for _ in range(r.choice([1, 1, 2, 2, 3])):
+            w[r.randrange(len(w))] = f"n{r.randrange(10**9)}"
+        docs.append((i, " ".join(w)))
+    sets = [shingles(t) for _, t in docs]
+    every, column = np.unique(np.concatenate(sets), return_inverse=True)
+    matrix = np.zeros((len(sets), len(every)), dtype=np.float32)
+    matrix[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), column] = 1
+    both, size = matrix @ matrix.T, np.array([len(s) for s in sets])
+    want = ((both >= 0.8 * (size[:, None] + size[None, :] - both) - 1e-6) & ~np.eye(len(sets), dtype=bool)).sum(1)
+    got = {r["doc_id"]: r for r in similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = np.array([got[i]["n_links"] for i in range(1500)])
+    assert 0.3 < want.sum() / 1500**2 < 0.99 and (found <= want).all() and found.sum() >= 0.995 * want.sum()
+    assert {r["class_id"] for r in got.values()} == {0}
+
+
 def test_shingles():
     assert len(shingles("a b c d e f")) == 2 and len(shingles("a b")) == 1 and len(shingles(" ")) == 0
 

@@ -1,6 +1,7 @@
 """The native operators on small tables, against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -260,6 +261,43 @@ def test_linking(spark):
     assert clean[1] == CASES[1][0] and clean[11] is None and SECRET not in clean[5] and KEY not in clean[5]
 
 
+ROLES = {"assign": "secret", "access": "access", "hex": "secret", "bare": "secret", "endpoint": "endpoint"}
+
+
+def all_spans(text):
+    """Base spans, and weak ones that have a complement near: each compared with all other parts of the text."""
+    text = text or ""
+    found = [(a, ("assign", "access", "hex")[k], b) for a, k, b in base_spans(text)]
+    found += [(m.start(), "bare", m.end()) for m in re.finditer(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", text)]
+    found += [(m.start(), "endpoint", m.end()) for m in re.finditer(r"\b(?:https?|postgres(?:ql)?|redis|s3)://[^\s\"'<>]{4,}", text, re.ASCII)]
+    order = list(ROLES)
+    found.sort(key=lambda f: (f[0], order.index(f[1])))
+    needs = {"bare": ("access", "endpoint"), "endpoint": ("access", "secret")}
+    kept = []
+    for i, (a, kind, b) in enumerate(found):
+        apart = [(ROLES[k], a - d if j < i else c - b) for j, (c, k, d) in enumerate(found) if j != i]
+        if kind not in needs or any(role in needs[kind] and gap <= 300 for role, gap in apart):
+            kept.append(f"{kind}:{a}:{b}")
+    return ",".join(kept)
+
+
+def test_links_against_comparing_all_parts(spark):
+    r = random.Random(6)
+    make = {
+        "key": lambda: "AKIA" + "".join(r.choices("ABCDEFGH23", k=16)),
+        "bare": lambda: "".join(r.choices("abcXYZ019+/", k=40)),
+        "url": lambda: r.choice(["https://a.example/x", "redis://h:1/0", "s3://bucket/k"]),
+        "assign": lambda: r.choice(["password=hunter22", "Token: 'abcdefgh'", "api_key=short"]),
+        "hex": lambda: "".join(r.choices("0123456789abcdef", k=r.choice([20, 24, 40]))),
+        "gap": lambda: "word " * r.choice([1, 20, 58, 59, 60, 61, 90]),
+    }
+    texts = [" ".join(make[r.choice(list(make))]() for _ in range(r.randrange(1, 14))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(map(tuple, find_secrets(df).select("doc_id", spelled(F.col("found"))).collect()))
+    assert [got[i] for i in range(len(texts))] == [all_spans(t) for t in texts]
+    assert sum("bare" in v for v in got.values()) > 30 and sum("endpoint" in v for v in got.values()) > 30
+
+
 def test_secrets_edges(spark, edge):
     rows = find_secrets(edge).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in EDGE)
