@@ -6,17 +6,33 @@ document that a text is a chunk of, the text's source its source type. Their que
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone import schemas
-from quillstone.config import CONTEXT_HEADER, CONTEXT_PRESETS, FREQUENT_WORDS, SENTENCE_PRESETS, SOURCE_LABELS, SUPPORTED_LANGUAGES, SYNONYMS, TOKEN_PRESETS, SentenceChunkConfig, WindowChunkConfig
+from quillstone.config import (
+    CONTEXT_HEADER,
+    CONTEXT_PRESETS,
+    FREQUENT_WORDS,
+    SENTENCE_PRESETS,
+    SOURCE_LABELS,
+    SUPPORTED_LANGUAGES,
+    SYNONYMS,
+    TOKEN_PRESETS,
+    SentenceChunkConfig,
+    TokenChunkConfig,
+    WindowChunkConfig,
+)
 from quillstone.functions import text as T
 from quillstone.functions import vectors as V
 from quillstone.operators import ann, chunking, embedding, index
 from quillstone.operators import context as C
 from quillstone.operators import search as S
-from quillstone.sources.tables import packed, read_table, unpacked, write_table
+from quillstone.plans.chunk_sql import token_chunks_sql
+from quillstone.sources.tables import clear, packed, read_table, unpacked, write_table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -259,14 +275,38 @@ def cluster_sizes(spark, sf_dir):
     return _vectors(spark, sf_dir).groupBy(F.col("label").alias("cluster_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def leaders_sql(vector: str) -> str:
+    """CTEs up to leaders (one row s: centroids c, sizes n, labels l in the order of ids) and v (vec_id, v) of embeddings."""
+    dots = "list_transform(s.c, lambda c: list_dot_product(c, x))"
+    best = f"list_position({dots}, list_max({dots}))"
+    moved = f"list_transform(s.c, lambda c, i: case when i = {best} then list_transform(c, lambda y, j: y + (x[j] - y) / (s.n[i] + 1)) else c end)"
+    more = f"list_transform(s.n, lambda m, i: case when i = {best} then m + 1 else m end)"
+    opened = "{'c': list_append(s.c, x), 'n': list_append(s.n, 1), 'l': list_append(s.l, len(s.c)::int)}"
+    start = "{'c': []::double[][], 'n': []::int[], 'l': []::int[]}"
+    step = f"case when len(s.c) = 0 or (len(s.c) < {ann.CLUSTERS} and list_max({dots}) < {ann.OPEN_BELOW}) then {opened} else {{'c': {moved}, 'n': {more}, 'l': list_append(s.l, ({best} - 1)::int)}} end"
+    return f"""with e as (select vec_id, embedding::double[] as x from embeddings where len(embedding) > 0), v as (select vec_id, {vector} as v from e),
+    leaders as (select list_reduce(vs, lambda s, x: {step}, {start}) as s from (select list(v order by vec_id) as vs from v))"""
+
+
+_UNIT = "list_transform(x, lambda y: y / sqrt(list_dot_product(x, x)))"
+_NEAREST = "list_position(list_transform(s.c, lambda c: list_dot_product(c, v.v)), list_max(list_transform(s.c, lambda c: list_dot_product(c, v.v))))"
+
+
+@query(leaders_sql(_UNIT) + f" select vec_id as chunk_id, cast({_NEAREST} - 1 as int) as cluster_id from v, leaders")
 def ann_index(spark, sf_dir):
-    """Every vector's cluster; leaders fitted on ann.SAMPLE vectors at most."""
+    """Every vector's cluster; leaders fitted on ann.SAMPLE vectors at most (its SQL: on all, which is the same up to so many)."""
     chunks = _vectors(spark, sf_dir).select(F.col("vec_id").alias("chunk_id"), V.unit(F.col("embedding")).alias("vector"))
     return ann.assigned(chunks, ann.fitted(chunks)).select("chunk_id", "cluster_id")
 
 
-@query()
+@query(
+    leaders_sql(_UNIT)
+    + f""", k as (select vec_id, v, cast({_NEAREST} - 1 as int) as cluster_id from v, leaders),
+    c as (select generate_subscripts(s.c, 1) - 1 as cluster_id, unnest(s.c) as c from leaders),
+    p as (select q.vec_id as query_id, q.v as q, c.cluster_id, row_number() over (partition by q.vec_id order by round(list_dot_product(q.v, c.c), 9) desc, c.cluster_id) as r from v q, c where q.vec_id % 100 = 0),
+    s as (select p.query_id, k.vec_id as chunk_id, greatest({COSINE("k.v", "p.q")}, 0) as score from p join k on k.cluster_id = p.cluster_id where p.r <= {ann.THOROUGH}),
+    r as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s) select query_id, chunk_id, cast(rank as int) as rank, round(score, 6) as score from r where rank <= 6"""
+)
 def ann_search(spark, sf_dir):
     """For every vector whose id is divisible by 100 the six nearest, among its nearest clusters; recall is measured in the tests."""
     chunks = _vectors(spark, sf_dir).select(F.col("vec_id").alias("chunk_id"), V.unit(F.col("embedding")).alias("vector"))
@@ -276,9 +316,9 @@ def ann_search(spark, sf_dir):
     return ann.clustered_matches(q, ann.assigned(chunks, centers), clusters, 6, ann.THOROUGH).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(leaders_sql("x") + " select cluster_id, cast(count(*) as int) as n from (select unnest(s.l) as cluster_id from leaders) group by 1")
 def leader_clusters(spark, sf_dir):
-    """Sizes of the leader clusters: ann.SAMPLE vectors at most inserted in the order of ids, every other one with its nearest leader."""
+    """Sizes of the leader clusters: ann.SAMPLE vectors at most inserted in the order of ids, every other one with its nearest leader (its SQL inserts all)."""
     e = _vectors(spark, sf_dir).select(F.col("vec_id").cast("long").alias("chunk_id"), F.col("embedding").alias("vector")).where(F.size("vector") > 0)
     ids, vectors = ann._ordered(e, ann.SAMPLE)
     centers, labels = ann.leaders(vectors)
@@ -551,6 +591,37 @@ def window_sql(size: int = 900, overlap: int = 135, most: int = 400) -> str:
     select u.doc_id, cast(u.i as int) as chunk_index, cast(a as int) as start_offset, cast(b as int) as end_offset, {HASH('substr(text, cast(a + 1 as bigint), cast(b - a as bigint))')} as content_hash, cast({WORDS('substr(text, cast(a + 1 as bigint), cast(b - a as bigint))')} as int) as word_count from u join p on p.doc_id = u.doc_id"""
 
 
+ONCE = WindowChunkConfig(max_chunks=None, suffix_cascade=False)
+
+
+def window_once_chunks_sql(size: int = 900, overlap: int = 135) -> str:
+    """CTEs up to onces: doc_id, i, a, b of the windows without suffixes and ceiling; p has doc_id, text."""
+    step = size - overlap
+    reach = f"greatest(w.first, len(list_filter(q.b, lambda x: x - q.a[w.first] <= {size})))"
+    slices = f"case when hi - lo <= {size} then 1 else cast(ceil((hi - lo - {size}) / {step}.0) as bigint) + 1 end"
+    return rf"""p as (select doc_id, text, list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]*\s*'), lambda x: length(x)), lambda x: x > 0) as l
+      from documents where regexp_matches(text, '[\p{{L}}\p{{N}}]')),
+    e as (select doc_id, i, sum(x) over (partition by doc_id order by i) as b, x from (select doc_id, generate_subscripts(l, 1) as i, unnest(l) as x from p)),
+    q as (select doc_id, list(cast(b - x as bigint) order by i) as a, list(cast(b as bigint) order by i) as b from e group by doc_id),
+    w as (select doc_id, cast(1 as bigint) as first from q union all
+      select doc_id, case when last = first and hi - lo > {size} then first + 1
+        else greatest(first + 1, least(last, starts)) end
+      from (select v.doc_id, v.first, v.last, q.a[v.first] as lo, q.b[v.last] as hi, len(q.a) as m,
+          len(list_filter(q.a, lambda x: x <= greatest(q.a[v.first], q.b[v.last] - {overlap}))) as starts
+        from (select w.doc_id, w.first, {reach} as last from w join q on q.doc_id = w.doc_id) v join q on q.doc_id = v.doc_id)
+      where last < m),
+    r as (select w.doc_id, w.first, q.a[w.first] as lo, q.b[{reach}] as hi from w join q on q.doc_id = w.doc_id),
+    cut as (select doc_id, first, i, lo + i * {step} as a, least(hi, lo + i * {step} + {size}) as b from (select *, unnest(range(0, {slices})) as i from r)),
+    onces as (select doc_id, cast(row_number() over (partition by doc_id order by first, i) - 1 as int) as i, cast(a as int) as a, cast(b as int) as b from cut)"""
+
+
+def window_once_sql() -> str:
+    content = "substr(text, cast(a + 1 as bigint), cast(b - a as bigint))"
+    return f"""with recursive {window_once_chunks_sql()}
+    select o.doc_id, i as chunk_index, a as start_offset, b as end_offset, {HASH(content)} as content_hash, cast({WORDS(content)} as int) as word_count
+    from onces o join p on p.doc_id = o.doc_id"""
+
+
 @query(window_sql())
 def window_chunks(spark, sf_dir):
     """Overlapping windows of sentences."""
@@ -558,18 +629,24 @@ def window_chunks(spark, sf_dir):
     return s.select("doc_id", "chunk_index", "start_offset", "end_offset", T.content_hash(F.col("content")).alias("content_hash"), "word_count")
 
 
-@query()
+@query(window_once_sql())
 def window_chunks_once(spark, sf_dir):
     """The same without suffixes and ceiling."""
-    s = chunking.window_chunks(table(spark, sf_dir, "documents"), WindowChunkConfig(max_chunks=None, suffix_cascade=False))
+    s = chunking.window_chunks(table(spark, sf_dir, "documents"), ONCE)
     return s.select("doc_id", "chunk_index", "start_offset", "end_offset", T.content_hash(F.col("content")).alias("content_hash"), "word_count")
 
 
-@query()
-def token_chunks(spark, sf_dir):
-    """Chunks by token budget."""
-    s = chunking.token_chunks(table(spark, sf_dir, "documents"), TOKEN_PRESETS["foundation"])
-    return s.select("doc_id", "chunk_index", "estimated_tokens", "start_offset", "end_offset", T.content_hash(F.col("content")).alias("content_hash"))
+def _token_chunks(config: TokenChunkConfig):
+    def run(spark, sf_dir):
+        s = chunking.token_chunks(table(spark, sf_dir, "documents"), config)
+        return s.select("doc_id", "chunk_index", "estimated_tokens", "start_offset", "end_offset", T.content_hash(F.col("content")).alias("content_hash"))
+
+    return run
+
+
+for _name, _preset in TOKEN_PRESETS.items():
+    QUERIES[f"token_chunks_{_name}"] = _token_chunks(_preset)
+    ORACLE_SQL[f"token_chunks_{_name}"] = token_chunks_sql(_preset, HASH("{0}"))
 
 
 # Index maintenance.
@@ -613,16 +690,8 @@ def delete_anti(spark, sf_dir):
     return index.deleted(_documents(spark, sf_dir), poor).select("doc_id", "source_type")
 
 
-@query("select cast(d.doc_id as varchar) as doc_id from documents d where d.doc_id >= 100 and exists (select 1 from documents k where k.doc_id < 100 and k.source = d.source and k.doc_id % 100 = d.doc_id % 100)")
+@query("select cast(doc_id as varchar) as doc_id from (select doc_id, row_number() over (partition by source, doc_id % 100 order by doc_id) as r from documents) where r > 1")
 def delete_same_source(spark, sf_dir):
-    """Documents of the same type and path as one that is kept."""
-    d = _documents(spark, sf_dir)
-    kept = d.where(F.col("doc_id").cast("long") < 100).withColumn("source_path", F.trim("source_path"))
-    return index.same_source(d, kept)
-
-
-@query()
-def delete_same_source_all(spark, sf_dir):
     """Documents of the same type and path as an earlier one: the first of each is kept."""
     d = _documents(spark, sf_dir)
     kept = d.groupBy("source_type", F.trim("source_path").alias("source_path")).agg(F.min(F.col("doc_id").cast("long")).cast("string").alias("doc_id"))
@@ -671,14 +740,8 @@ def near_dup_docs(spark, sf_dir):
     return d.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("n > 1")
 
 
-@query("select count(*) as n, count(distinct doc_id) as n_documents, true as same from (select doc_id from documents where doc_id < 300)")
+@query(r"select count(*) as n, count(distinct doc_id) as n_documents, true as same from documents where regexp_matches(text, '\S')")
 def vector_store(spark, sf_dir):
-    """vector_store_all over the ids that its SQL names."""
-    return _restored(spark, table(spark, sf_dir, "documents").where("doc_id < 300"))
-
-
-@query()
-def vector_store_all(spark, sf_dir):
     """Vectors of all documents quantised, packed, written by bucket, read and unpacked."""
     return _restored(spark, table(spark, sf_dir, "documents"))
 
@@ -694,12 +757,21 @@ def _restored(spark, d: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder where the session's executors all write: under its checkpoint folder, or a temporary one where it has none, as in tests."""
+    """A new folder where the session's executors all write: under its checkpoint folder, or a temporary one where driver and executors are one process."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quillstone"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{base.rstrip('/') if base else f'file://{tempfile.gettempdir()}/quillstone'}/{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        clear(spark, path)
 
 
 @query()
