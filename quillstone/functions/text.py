@@ -131,9 +131,13 @@ def keyword_score(query_tokens: Column, content_tokens: Column) -> Column:
     return F.when((k == 0) | (n == 0), 0.0).otherwise(bm25_total(parts, k))
 
 
-def rerank_score(score: Column, query: Column, query_tokens: Column, content: Column, content_tokens: Column, index: Column) -> Column:
-    """Term overlap, then place in the document, then length, then the whole query as a phrase."""
-    overlap = F.size(F.array_intersect(query_tokens, content_tokens)) / F.greatest(F.lit(1), F.size(F.array_distinct(query_tokens)))
+def term_overlap(query_tokens: Column, content_tokens: Column) -> Column:
+    """The share of the query's different terms that the content has."""
+    return F.size(F.array_intersect(query_tokens, content_tokens)) / F.greatest(F.lit(1), F.size(F.array_distinct(query_tokens)))
+
+
+def rerank_score(score: Column, query: Column, overlap: Column, content: Column, index: Column) -> Column:
+    """Overlap (the share of the query's different terms that the content has), then place in the document, then length, then the whole query as a phrase."""
     n = F.length(content)
     size = F.when(n < 100, 0.9).when(n > 500, 0.95).otherwise(1.0)
     phrase = F.when(F.contains(F.lower(content), F.lower(query)), 0.15).otherwise(0.0)

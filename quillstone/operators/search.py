@@ -8,19 +8,21 @@ task puts out its best rows alone, so no pair of query and chunk is ever a row.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quillstone.config import EngineConfig, SearchConfig
-from quillstone.functions.text import keyword_score, normalized_hash, rerank_score, tokens
+from quillstone.functions.text import bm25, bm25_total, normalized_hash, rerank_score, tokens
 
-#: Query vectors that a task holds at once, about.
-BLOCK = 4096
+#: Query vectors in a block, about, and blocks that a task holds at once.
+BLOCK, HELD = 4096, 8
 DIGITS = 9
 
 
@@ -42,64 +44,130 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return m[whole], good[whole]
 
 
-def best_matches(queries: DataFrame, chunks: DataFrame, n: int, floor: float | None = 0.0, block: int = BLOCK) -> DataFrame:
+class _Block:
+    """Query vectors of one width that tasks hold: those of a query lie side by side, from starts on."""
+
+    def __init__(self, rows: list[tuple], width: int) -> None:
+        self.ids = [i for i, _ in rows]
+        self.width = width
+        self.starts = np.cumsum([0, *[len(v) for _, v in rows[:-1]]])
+        self.vectors = _units([x for _, v in rows for x in v])
+
+
+def _blocks(queries: DataFrame, most: int) -> Iterator[_Block]:
+    """queries (query_id, vector) in blocks of about most vectors; the driver holds one block."""
+    by_query = queries.where(F.size("vector") > 0).groupBy("query_id", F.size("vector").alias("width")).agg(F.collect_list(F.col("vector").cast("array<double>")).alias("vectors"))
+    held: dict[int, list] = {}
+    for r in by_query.toLocalIterator():
+        rows = held.setdefault(r["width"], [])
+        rows.append((r["query_id"], r["vectors"]))
+        if sum(len(v) for _, v in rows) >= most:
+            yield _Block(held.pop(r["width"]), r["width"])
+    for width, rows in held.items():
+        yield _Block(rows, width)
+
+
+def best_matches(queries: DataFrame, chunks: DataFrame, n: int, floor: float | None = 0.0, block: int = BLOCK, probes: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: for each query the n chunks of highest cosine, ties by chunk_id.
 
     queries (query_id, vector) may hold several vectors of a query: the highest counts. chunks (chunk_id, vector). A score is never below floor. Zero, null
-    and mismatched vectors match nothing. Scores are rounded to 9 digits, so that equal vectors tie.
+    and mismatched vectors match nothing. Scores are rounded to 9 digits, so that equal vectors tie. With probes (query_id,
+    cluster_id) a query looks at the chunks of its clusters alone, and chunks have a cluster_id.
+
+    Query vectors are broadcast in blocks. HELD blocks are searched in one reading of the chunks; a task puts out its best
+    rows of each query, and ranking those is all that is shuffled.
     """
-    queries = queries.where(F.col("vector").isNotNull() & (F.size("vector") > 0))
-    parts, total = [], queries.count()
+    spark = queries.sparkSession
+    near: dict | None = None
+    if probes is not None:
+        near = {}
+        for r in probes.select("query_id", "cluster_id").toLocalIterator():
+            near.setdefault(r["query_id"], []).append(r["cluster_id"])
+    columns = ["chunk_id", F.col("vector").cast("array<double>").alias("vector"), *(["cluster_id"] if near is not None else [])]
     kind = to_arrow_type(queries.schema["query_id"].dataType)
-    blocks = max(1, -(-total // block))
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "vector").collect()
-        by_width: dict[int, list] = {}
-        for r in rows:
-            by_width.setdefault(len(r["vector"]), []).append(r)
-        for width, some in by_width.items():
-            some.sort(key=lambda r: r["query_id"])
-            vectors = _units([r["vector"] for r in some])
-            ids = [r["query_id"] for r in some]
-            starts = [i for i in range(len(ids)) if not i or ids[i] != ids[i - 1]]
-            parts.append(chunks.select("chunk_id", F.col("vector").cast("array<double>")).mapInArrow(_scan(vectors, [ids[i] for i in starts], starts, width, n, floor, kind), kinds))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
+    parts, held = [], []
+    for b in _blocks(queries, block):
+        held.append(spark.sparkContext.broadcast((b, None if near is None else [frozenset(near.get(i, ())) for i in b.ids])))
+        if len(held) == HELD:
+            parts.append(held)
+            held = []
+    parts += [held] if held else []
     if not parts:
-        return chunks.sparkSession.createDataFrame([], f"{kinds}, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
+        return spark.createDataFrame([], f"{schema}, rank int")
+    found = None
+    for some in parts:
+        p = chunks.select(*columns).mapInArrow(_scan(some, n, floor, kind), schema)
+        found = p if found is None else found.unionAll(p)
+    return ranked(found, n)
+
+
+def ranked(found: DataFrame, n: int) -> DataFrame:
+    """The n rows of highest score for each query, ties by chunk_id, with their rank."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def _scan(vectors: np.ndarray, ids: list, starts: list[int], width: int, n: int, floor: float | None, id_kind: pa.DataType):
+class _Best:
+    """The best rows of each query so far, as flat arrays: query, whole score, chunk id."""
+
+    def __init__(self, n: int) -> None:
+        self.n, self.query, self.score, self.name = n, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), None
+
+    def add(self, query: np.ndarray, score: np.ndarray, name: np.ndarray) -> None:
+        if not len(query):
+            return
+        query, score = np.concatenate([self.query, query]), np.concatenate([self.score, score])
+        name = name if self.name is None else np.concatenate([self.name, name])
+        order = np.lexsort((name, -score, query))
+        query = query[order]
+        first = np.concatenate([[0], np.flatnonzero(np.diff(query)) + 1])
+        place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        order = order[place < self.n]
+        self.query, self.score, self.name = query[place < self.n], score[order], name[order]
+
+    def least(self, many: int) -> np.ndarray:
+        """Of each query the score that a row must reach to be among its best."""
+        out = np.full(many, np.iinfo(np.int64).min)
+        last = np.flatnonzero(np.append(np.diff(self.query) != 0, True)) if len(self.query) else np.zeros(0, dtype=np.int64)
+        full = np.bincount(self.query, minlength=many)[self.query[last]] == self.n
+        out[self.query[last[full]]] = self.score[last[full]]
+        return out
+
+
+def _scan(blocks: list[Broadcast], n: int, floor: float | None, id_kind: pa.DataType):
+    unit = 10**DIGITS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple]] = [[] for _ in ids]
+        held = [(*b.value, _Best(n)) for b in blocks]
         kind = None
         for batch in batches:
             kind = batch.column(0).type
             for k in range(0, batch.num_rows, 2048):
                 part = batch.slice(k, 2048)
-                m, rows = _matrix(part.column(1), width)
-                if not len(rows):
-                    continue
-                names = part.column(0).take(pa.array(rows)).to_pylist()
-                lengths = np.sqrt((m * m).sum(axis=1))
-                score = np.round(np.divide(m, lengths[:, None], out=np.zeros_like(m), where=lengths[:, None] > 0) @ vectors.T, DIGITS)
-                score = np.maximum.reduceat(score, starts, axis=1)
-                score = np.maximum(score, floor) if floor is not None else score
-                score[lengths == 0] = -np.inf
-                for q in range(len(ids)):
-                    s = score[:, q]
-                    least = np.partition(s, len(s) - n)[len(s) - n] if len(s) > n else -np.inf
-                    if len(best[q]) == n and least < -best[q][-1][0]:
-                        least = -best[q][-1][0]
-                    mine = [(-float(s[i]), names[i]) for i in np.flatnonzero(s >= least) if s[i] > -np.inf]
-                    best[q] = sorted(best[q] + mine)[:n]
-        flat = [(ids[q], name, -s) for q in range(len(ids)) for s, name in best[q]]
-        if flat:
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], id_kind), pa.array([f[1] for f in flat], kind), pa.array([f[2] for f in flat], pa.float64())], names=["query_id", "chunk_id", "score"])
+                for block, near, best in held:
+                    m, rows = _matrix(part.column(1), block.width)
+                    lengths = np.sqrt((m * m).sum(axis=1))
+                    m, rows, lengths = m[lengths > 0], rows[lengths > 0], lengths[lengths > 0]
+                    if not len(rows):
+                        continue
+                    names = np.array(part.column(0).take(pa.array(rows)).to_pylist())
+                    score = np.maximum.reduceat((m / lengths[:, None]) @ block.vectors.T, block.starts, axis=1)
+                    score = np.rint((score if floor is None else np.maximum(score, floor)) * unit).astype(np.int64)
+                    good = score >= best.least(len(block.ids))[None, :]
+                    if near is not None:
+                        clusters = part.column(2).take(pa.array(rows)).to_pylist()
+                        of = {c: np.array([c in some for some in near]) for c in set(clusters)}
+                        good &= np.stack([of[c] for c in clusters])
+                    if good.sum() > 4 * n * len(block.ids):  # the first rows: those beyond the n-th of this part can't stay
+                        least = np.partition(np.where(good, score, np.iinfo(np.int64).min), -min(n, len(rows)), axis=0)[-min(n, len(rows))]
+                        good &= score >= least[None, :]
+                    row, query = np.nonzero(good)
+                    best.add(query, score[row, query], names[row])
+        for block, _, best in held:
+            if len(best.query):
+                ids = pa.array([block.ids[q] for q in best.query.tolist()], id_kind)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(best.name.tolist(), kind), pa.array(best.score / unit)], names=["query_id", "chunk_id", "score"])
 
     return run
 
@@ -116,18 +184,100 @@ def scored(queries: DataFrame, chunks: DataFrame, config: SearchConfig = SearchC
     re-ranked one only for queries of which more than top_k rows survive.
     """
     head = best_matches(queries, chunks, config.head).select("query_id", "chunk_id", F.col("score").alias("score_embedding"))
-    rows = head.join(chunks.drop("vector"), "chunk_id").join(queries.select("query_id", F.col("text").alias("query")).distinct(), "query_id")
-    rows = rows.withColumn("__q", tokens(F.col("query"))).withColumn("__c", tokens(F.col("content")))
-    keyword = F.round(keyword_score(F.col("__q"), F.col("__c")), DIGITS) if config.hybrid else F.lit(0.0)
-    rows = rows.withColumn("score_keyword", keyword)
-    rows = rows.withColumn("score_combined", F.round(fused(F.col("score_embedding"), F.col("score_keyword")), DIGITS) if config.hybrid else F.col("score_embedding"))
+    asked = queries.select("query_id", F.col("text").alias("query")).distinct()
+    some = chunks.drop("vector").join(head.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    rows = head.join(matched(asked, some, head), ["query_id", "chunk_id"], "left")
+    if config.hybrid:
+        keyword = F.when(F.col("__sum").isNotNull(), F.round(bm25_total(F.col("__sum"), F.col("__n_terms")), DIGITS)).otherwise(0.0)
+        rows = rows.withColumn("score_keyword", keyword).withColumn("score_combined", F.round(fused(F.col("score_embedding"), keyword), DIGITS))
+    else:
+        rows = rows.withColumn("score_keyword", F.lit(0.0)).withColumn("score_combined", F.col("score_embedding"))
     rows = rows.where(F.col("score_combined") >= config.min_score)
     of = Window.partitionBy("query_id")
     rows = rows.withColumn("__n", F.count(F.lit(1)).over(of)).withColumn("__r", F.row_number().over(of.orderBy(F.desc("score_combined"), "chunk_id")))
-    rows = rows.where(F.col("__r") <= config.coarse)
-    final = F.round(rerank_score(F.col("score_combined"), F.col("query"), F.col("__q"), F.col("content"), F.col("__c"), F.col("chunk_index")), DIGITS)
+    rows = rows.where(F.col("__r") <= config.coarse).join(some, "chunk_id").join(asked, "query_id")
+    final = F.round(rerank_score(F.col("score_combined"), F.col("query"), F.coalesce("__overlap", F.lit(0.0)), F.col("content"), F.col("chunk_index")), DIGITS)
     rows = rows.withColumn("score_final", F.when(F.col("__n") > config.top_k, final).otherwise(F.col("score_combined")))
-    return rows.withColumn("rank", F.row_number().over(of.orderBy(F.desc("score_final"), "chunk_id"))).drop("__q", "__c", "__n", "__r")
+    rank = F.row_number().over(of.orderBy(F.desc("score_final"), "chunk_id"))
+    return rows.withColumn("rank", rank).drop("__sum", "__n_terms", "__overlap", "__n", "__r")
+
+
+def matched(queries: DataFrame, chunks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (query_id, chunk_id) with a term in common: __sum of the terms' scores, __n_terms of the query, __overlap, the share of its terms.
+
+    queries (query_id, query), chunks (chunk_id, content). Each text is parted into terms once, however many pairs it is in.
+    """
+    q = queries.select("query_id", tokens(F.col("query")).alias("t"))
+    q = q.select("query_id", F.size("t").alias("__n_terms"), F.size(F.array_distinct("t")).alias("__different"), F.explode(F.array_distinct("t")).alias("term"))
+    c = chunks.select("chunk_id", tokens(F.col("content")).alias("t"))
+    c = c.select("chunk_id", F.size("t").alias("n"), F.explode("t").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"), F.first("n").alias("n"))
+    hits = pairs.select("query_id", "chunk_id").join(q, "query_id").join(c, ["chunk_id", "term"])
+    overlap = (F.count(F.lit(1)) / F.first("__different")).alias("__overlap")
+    return hits.groupBy("query_id", "chunk_id").agg(F.sum(bm25(F.col("tf"), F.col("n"))).alias("__sum"), F.first("__n_terms").alias("__n_terms"), overlap)
+
+
+def keyword_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, rank, score: the k rows of docs (doc_id, ts) of highest keyword score for queries (query_id, ts).
+
+    ts are terms. The queries' terms are a stated set that tasks hold; a task scores its documents and puts out its best rows,
+    so a term that all documents and queries have makes no pairs. Documents without a query's terms have no row.
+    """
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double"
+    id_kind, held, parts = to_arrow_type(queries.schema["query_id"].dataType), [], []
+
+    def hold() -> None:
+        terms: dict[str, list] = {}
+        for i, (_, ts) in enumerate(held):
+            for t in set(ts):
+                terms.setdefault(t, []).append(i)
+        ready = ({t: np.array(v) for t, v in terms.items()}, [i for i, _ in held], np.array([len(ts) for _, ts in held], dtype=float))
+        parts.append(docs.select("doc_id", "ts").mapInArrow(_terms(queries.sparkSession.sparkContext.broadcast(ready), k, id_kind), kinds))
+        held.clear()
+
+    for r in queries.where(F.size("ts") > 0).select("query_id", "ts").toLocalIterator():
+        held.append((r["query_id"], r["ts"]))
+        if len(held) == BLOCK:
+            hold()
+    if held:
+        hold()
+    if not parts:
+        return queries.sparkSession.createDataFrame([], f"{kinds}, rank int").select("query_id", "doc_id", "rank", "score")
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionAll(p)
+    return ranked(found.withColumnRenamed("doc_id", "chunk_id"), k).select("query_id", F.col("chunk_id").alias("doc_id"), "rank", "score")
+
+
+def _terms(queries: Broadcast, k: int, id_kind: pa.DataType):
+    unit = 10**DIGITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, ids, size = queries.value
+        best, kind = _Best(k), None
+        for batch in batches:
+            kind = batch.column(0).type
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                names, rows, cols, scores = np.array(part.column(0).to_pylist()), [], [], []
+                for row, ts in enumerate(part.column(1).to_pylist()):
+                    found = [(terms[t], 2.0 * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ts) / 200.0))) for t, tf in Counter(ts or ()).items() if t in terms]
+                    if not found:
+                        continue
+                    of, much = np.concatenate([q for q, _ in found]), np.repeat([s for _, s in found], [len(q) for q, _ in found])
+                    total = np.bincount(of, much, len(ids))
+                    has = np.flatnonzero(total > 0)
+                    rows.append(np.full(len(has), row))
+                    cols.append(has)
+                    scores.append(np.rint(np.minimum(1.0, total[has] / (size[has] * 3.0)) * unit).astype(np.int64))
+                if rows:
+                    row, query, score = np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
+                    good = score >= best.least(len(ids))[query]
+                    best.add(query[good], score[good], names[row[good]])
+        if len(best.query):
+            made = [pa.array([ids[q] for q in best.query.tolist()], id_kind), pa.array(best.name.tolist(), kind), pa.array(best.score / unit)]
+            yield pa.RecordBatch.from_arrays(made, names=["query_id", "doc_id", "score"])
+
+    return run
 
 
 def diversified(rows: DataFrame, top_k: int) -> DataFrame:

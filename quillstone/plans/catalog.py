@@ -342,17 +342,7 @@ def bm25(spark, sf_dir):
     """The six documents of highest keyword score for each benchmark item."""
     d = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("ts"))
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("ts"))
-    return keyword_topk(q, d, 6)
-
-
-def keyword_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id, rank, score of queries (query_id, ts) on docs (doc_id, ts). Only terms of the queries leave the scan of docs; pairs without a common term have no row."""
-    q = queries.select("query_id", F.size("ts").alias("nq"), F.explode(F.array_distinct("ts")).alias("term"))
-    terms = docs.select("doc_id", F.size("ts").alias("n"), F.explode("ts").alias("term")).join(F.broadcast(q.select("term").distinct()), "term", "left_semi")
-    tf = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"), F.first("n").alias("n"))
-    s = tf.join(q, "term").groupBy("query_id", "doc_id").agg(F.round(T.bm25_total(F.sum(T.bm25(F.col("tf"), F.col("n"))), F.max("nq")), 9).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return s.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    return S.keyword_topk(q, d, 6).withColumn("score", F.round("score", 6))
 
 
 # The search pipeline.

@@ -36,7 +36,7 @@ def test_keyword_score(spark):
 
 
 def test_rerank(spark):
-    final = lambda q, c, i: one(spark, T.rerank_score(F.lit(0.8), F.col("q"), T.tokens(F.col("q")), F.col("c"), T.tokens(F.col("c")), F.lit(i)), q=q, c=c)
+    final = lambda q, c, i: one(spark, T.rerank_score(F.lit(0.8), F.col("q"), T.term_overlap(T.tokens(F.col("q")), T.tokens(F.col("c"))), F.col("c"), F.lit(i)), q=q, c=c)
     half = "alpha " + "x" * 294
     assert round(final("alpha beta", half, 0), 9) == 0.85
     assert round(final("alpha beta", half, 10), 6) == 0.566667
