@@ -1,6 +1,7 @@
 """Embedding providers: texts to vectors.
 
-What a provider can't embed is null and is dropped later with its place kept. Equal texts are embedded once.
+What a provider can't embed is null and is dropped later with its place kept. Equal texts of a batch are embedded once;
+embedded_once() embeds the different texts of a whole table and joins them back, for providers whose work outweighs a shuffle.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +41,13 @@ class Provider(Protocol):
 
 
 class HashingProvider:
-    """Signed counts of a text's lower-case words in hashed places, over their length: offline, and the same everywhere."""
+    """Signed counts of a text's lower-case words in hashed places, over their length: offline, and the same everywhere.
+
+    Of a word's sha256 the first 60 bits count: the highest gives the sign, the number modulo the dimension the place.
+    """
 
     def __init__(self, dimension: int = 64, language: str = "en") -> None:
-        self.info = ModelInfo("hashing-1", "word_v1", dimension, language, f"hashing-{dimension}")
+        self.info = ModelInfo("hashing-2", "word_v1", dimension, language, f"hashing-{dimension}")
 
     def embed(self, texts: list[str]) -> list[list[float] | None]:
         out: list[list[float] | None] = []
@@ -51,8 +56,8 @@ class HashingProvider:
             v = np.zeros(self.info.dimension)
             for word in text.lower().split():
                 if word not in known:
-                    h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-                    known[word] = h % self.info.dimension, 1.0 if h >> 63 else -1.0
+                    h = int(hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest()[:15], 16)
+                    known[word] = h % self.info.dimension, 1.0 if h >> 59 else -1.0
                 at, sign = known[word]
                 v[at] += sign
             n = np.sqrt(v @ v)
@@ -92,6 +97,15 @@ def embedded(df: DataFrame, provider: Provider, text_col: str = "content") -> Da
     return df.mapInArrow(run, StructType([*df.schema.fields]).add("vector", ArrayType(FloatType())))
 
 
+def embedded_once(df: DataFrame, provider: Provider, text_col: str = "content") -> DataFrame:
+    """embedded(), with each different text of df given to the provider once. Texts are told apart by 128 bits of hash."""
+    keys = (F.xxhash64(F.lit(3), text_col).alias("__t1"), F.xxhash64(F.lit(4), text_col).alias("__t2"))
+    rows = df.drop("vector").withColumns({"__t1": keys[0], "__t2": keys[1]})
+    texts = rows.groupBy("__t1", "__t2").agg(F.first(text_col).alias("__text"))
+    vectors = embedded(texts, provider, "__text").drop("__text")
+    return rows.join(vectors, ["__t1", "__t2"]).drop("__t1", "__t2")
+
+
 def similarities(df: DataFrame, provider: Provider, a: str = "a", b: str = "b") -> DataFrame:
     """df with similarity, the cosine of the texts a and b; null where either can't be embedded."""
     both = embedded(embedded(df, provider, a).withColumnRenamed("vector", "__a"), provider, b)
@@ -116,24 +130,27 @@ def dominant_language(df: DataFrame, key: str, order: str, first: int = 10) -> D
 
 
 def to_base64(v: str = "vector"):
-    """A column of little-endian 32-bit floats in base64."""
+    """A column of little-endian 32-bit floats in base64, made from all floats of a batch at once."""
 
-    @F.pandas_udf("string")
-    def encode(vectors):
-        import base64
+    @F.arrow_udf("binary")
+    def raw(vectors: pa.Array) -> pa.Array:
+        flat = np.ascontiguousarray(vectors.flatten().to_numpy(zero_copy_only=False), dtype="<f4")
+        sizes = np.nan_to_num(vectors.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(sizes * 4)]).astype(np.int32)
+        made = pa.Array.from_buffers(pa.binary(), len(vectors), [None, pa.py_buffer(at), pa.py_buffer(flat.tobytes())])
+        return pc.if_else(vectors.is_valid(), made, None)
 
-        return vectors.map(lambda x: None if x is None else base64.b64encode(np.asarray(x, dtype="<f4").tobytes()).decode())
-
-    return encode(F.col(v))
+    return F.base64(raw(F.col(v)))
 
 
 def from_base64(c: str = "encoded"):
     """The floats of to_base64(); trailing bytes that make no float are dropped."""
 
-    @F.pandas_udf("array<float>")
-    def decode(texts):
-        import base64
-
-        return texts.map(lambda x: None if x is None else np.frombuffer((raw := base64.b64decode(x))[: len(raw) // 4 * 4], dtype="<f4"))
+    @F.arrow_udf("array<float>")
+    def floats(raw: pa.Array) -> pa.Array:
+        sizes = np.nan_to_num(pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64) // 4
+        flat = b"".join(x.as_buffer().to_pybytes()[: 4 * n] for x, n in zip(raw, sizes.tolist(), strict=True) if n)
+        at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.append(np.array(raw.is_null()), False))
+        return pa.ListArray.from_arrays(at, pa.array(np.frombuffer(flat, dtype="<f4")))
 
-    return decode(F.col(c))
+    return floats(F.unbase64(F.col(c)))

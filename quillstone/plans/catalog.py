@@ -52,6 +52,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of documents for work that outweighs a shuffle: a table of fewer parts than there are cores is dealt to all."""
+    d = table(spark, sf_dir, "documents").select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return d.repartition(cores) if d.rdd.getNumPartitions() < cores else d
+
+
 # SQL pieces.
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')".format
 TOKENS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: length(x) > 2)".format
@@ -95,7 +102,7 @@ def tokens(spark, sf_dir):
 
 @query(f"select term, count(*) as n, count(distinct doc_id) as n_documents from (select doc_id, unnest({TOKENS('text')}) as term from documents) group by term")
 def term_freq(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
+    t = texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
     return t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_documents"))
 
 
@@ -138,7 +145,21 @@ def detect_language(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.detected_language(F.col("text")).alias("language"))
 
 
-@query()
+def embedded_sql(source: str, name: str, dimension: int = 64) -> str:
+    """name: key, v (float[] of HashingProvider) of source (key, t: an integer or text, and a text); texts without words have no row."""
+    bits = "('0x' || substr(sha256(w), 1, 15))::bigint"
+    return rf"""{name}_w as (select key, unnest(list_filter(regexp_split_to_array(lower(t), '\s+'), lambda x: x <> '')) as w from {source}),
+    {name}_p as (select key, p, sum(s)::double as x from (select key, {bits} % {dimension} as p, case when {bits} >> 59 = 1 then 1 else -1 end as s from {name}_w) group by 1, 2),
+    {name}_m as (select key, map(list(p), list(x)) as m, sqrt(sum(x * x)) as n from {name}_p group by key),
+    {name} as (select key, list_transform(range(0, {dimension}), lambda i: (coalesce(m[i], 0) / n)::float) as v from {name}_m where n > 0)"""
+
+
+@query(
+    f"""with a as (select doc_id as key, text as t from documents), b as (select item_id as key, text as t from benchmark),
+    {embedded_sql("a", "x")}, {embedded_sql("b", "y")}
+    select item_id, round(list_cosine_similarity(x.v::double[], y.v::double[]), 6) as similarity
+    from benchmark join documents on doc_id = item_id left join x on x.key = item_id left join y on y.key = item_id"""
+)
 def text_similarity(spark, sf_dir):
     """Each benchmark item and the document of the same number."""
     d, b = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a")), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("b"))
@@ -146,21 +167,23 @@ def text_similarity(spark, sf_dir):
     return both.select("item_id", F.round("similarity", 6).alias("similarity"))
 
 
+def expansions_sql(source: str, name: str) -> str:
+    """name: query_id, place, expanded of source (query_id, text)."""
+    words = ", ".join(f"('{w}', '{a}', '{b}')" for w, (a, b) in SYNONYMS.items())
+    return f"""{name}_s as (select * from (values {words}) v(w, a, b)),
+    {name}_t as (select query_id, text, generate_subscripts(ts, 1) as i, unnest(ts) as w from (select query_id, text, {TOKENS('text')} as ts from {source})),
+    {name}_p as (select query_id, i * 2 as o, regexp_replace(text, t.w, s.a, 'gi') as expanded from {name}_t t join {name}_s s on t.w = s.w
+      union all select query_id, i * 2 + 1, regexp_replace(text, t.w, s.b, 'gi') from {name}_t t join {name}_s s on t.w = s.w
+      union all select query_id, 0, text from {source}),
+    {name}_d as (select query_id, expanded, min(o) as o from {name}_p group by 1, 2),
+    {name} as (select * from (select query_id, expanded, cast(row_number() over (partition by query_id order by o) as int) as place from {name}_d) where place <= 4)"""
+
+
 _ASKED = ("How do I explain the key theory?", "show me What matters", "study learn study", "an Analysis of the result and the method", "nothing to replace", "", "why? WHY")
 _ASKED_ROWS = ", ".join(f"({i}, '{q}')" for i, q in enumerate(_ASKED))
 
 
-@query(
-    f"""
-with q as (select * from (values {_ASKED_ROWS}) v(query_id, text)),
-s as (select * from (values {', '.join(f"('{w}', '{a}', '{b}')" for w, (a, b) in SYNONYMS.items())}) v(w, a, b)),
-t as (select query_id, text, generate_subscripts(ts, 1) as i, unnest(ts) as w from (select query_id, text, {TOKENS('text')} as ts from q)),
-p as (select query_id, i * 2 as o, regexp_replace(text, t.w, s.a, 'gi') as expanded from t join s on t.w = s.w
-      union all select query_id, i * 2 + 1, regexp_replace(text, t.w, s.b, 'gi') from t join s on t.w = s.w
-      union all select query_id, 0, text from q),
-d as (select query_id, expanded, min(o) as o from p group by 1, 2)
-select query_id, cast(place as int) as place, expanded from (select query_id, expanded, row_number() over (partition by query_id order by o) as place from d) where place <= 4"""
-)
+@query(f"with q as (select * from (values {_ASKED_ROWS}) v(query_id, text)), {expansions_sql('q', 'x')} select query_id, place, expanded from x")
 def query_expansion(spark, sf_dir):
     q = spark.createDataFrame(list(enumerate(_ASKED)), "query_id int, text string")
     return q.select("query_id", F.posexplode(T.expanded(F.col("text"))).alias("p", "expanded")).select("query_id", (F.col("p") + 1).alias("place"), "expanded")
@@ -340,7 +363,7 @@ def leader_clusters(spark, sf_dir):
 )
 def bm25(spark, sf_dir):
     """The six documents of highest keyword score for each benchmark item."""
-    d = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("ts"))
+    d = texts(spark, sf_dir, "doc_id", "text").select("doc_id", T.tokens(F.col("text")).alias("ts"))
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("ts"))
     return S.keyword_topk(q, d, 6).withColumn("score", F.round("score", 6))
 
@@ -360,13 +383,15 @@ def asked(spark, sf_dir) -> DataFrame:
     return b.join(e, b.item_id == e.vec_id).select(F.col("item_id").alias("query_id"), "text", F.col("embedding").alias("vector"))
 
 
-def search_sql(final: str, where: str = "true", k: int = 6, min_score: float = 0.25) -> str:
+def search_sql(final: str, where: str = "true", k: int = 6, min_score: float = 0.25, given: str | None = None) -> str:
+    """given: other CTEs up to s (query_id, query, the columns of a chunk, score_embedding)."""
     coarse = max(50, 3 * k)
     head = max(coarse, 6 * k)
-    return rf"""
+    usual = f"""
 with c as (select 'chunk_' || label || '_' || vec_id as chunk_id, 'doc' || label as document_id, cast(vec_id % 20 as int) as chunk_index, d.text as content, d.source as source_type, e.embedding as v from documents d join embeddings e on d.doc_id = e.vec_id where {where}),
 q as (select b.item_id as query_id, b.text as query, e.embedding as v from benchmark b join embeddings e on b.item_id = e.vec_id),
-s as (select q.query_id, q.query, c.* exclude (v), greatest({COSINE('c.v', 'q.v')}, 0) as score_embedding from q, c),
+s as (select q.query_id, q.query, c.* exclude (v), greatest({COSINE('c.v', 'q.v')}, 0) as score_embedding from q, c)"""
+    return rf"""{given or usual},
 h as (select *, row_number() over (partition by query_id order by score_embedding desc, chunk_id) as h from s),
 t as (select *, {TOKENS('query')} as qt, {TOKENS('content')} as ct from h where h <= {head}),
 k as (select *, case when len(qt) = 0 or len(ct) = 0 then 0 else round(least(1.0, list_sum(list_transform(list_distinct(qt), lambda x: (2.0 * len(list_filter(ct, lambda y: y = x)) * 2.5 / (len(list_filter(ct, lambda y: y = x)) + 1.5 * (0.25 + 0.75 * len(ct) / 200.0)))::double)) / (len(qt) * 3.0)), 9) end as score_keyword from t),
@@ -481,7 +506,7 @@ def exclude_document(spark, sf_dir):
     select doc_id, cast(i as int) as chunk_index, cast(a as int) as start_offset, cast(b as int) as end_offset, {HASH('substr(text, a + 1, b - a)')} as content_hash, cast({WORDS('substr(text, a + 1, b - a)')} as int) as word_count from u"""
 )
 def naive_chunks(spark, sf_dir):
-    s = chunking.naive_slices(table(spark, sf_dir, "documents"))
+    s = chunking.naive_slices(texts(spark, sf_dir, "doc_id", "text"))
     return s.select("doc_id", "chunk_index", "start_offset", "end_offset", T.content_hash(F.col("content")).alias("content_hash"), "word_count")
 
 
@@ -492,7 +517,7 @@ _SENTENCES = r"""with p as (select doc_id, list_filter(regexp_extract_all(text,
 
 @query(_SENTENCES + f"select doc_id, cast(i as int) as sentence_index, cast(e - length(sentence) as int) as start_offset, cast(e as int) as end_offset, {HASH('sentence')} as sentence_hash from o")
 def sentence_split(spark, sf_dir):
-    s = chunking.split_sentences(table(spark, sf_dir, "documents"))
+    s = chunking.split_sentences(texts(spark, sf_dir, "doc_id", "text"))
     return s.select("doc_id", "sentence_index", "start_offset", "end_offset", T.content_hash(F.col("sentence")).alias("sentence_hash"))
 
 
@@ -536,7 +561,7 @@ def sentence_chunks_sql(config: SentenceChunkConfig) -> str:
 
 def _sentence_chunks(config: SentenceChunkConfig):
     def run(spark, sf_dir):
-        s = chunking.sentence_chunks(table(spark, sf_dir, "documents"), config)
+        s = chunking.sentence_chunks(texts(spark, sf_dir, "doc_id", "text"), config)
         return s.select("doc_id", "chunk_index", "sentence_count", "start_sentence", "end_sentence", T.content_hash(F.col("content")).alias("content_hash"), T.content_hash(F.col("context")).alias("context_hash"), "estimated_tokens")
 
     return run
@@ -585,50 +610,49 @@ ONCE = WindowChunkConfig(max_chunks=None, suffix_cascade=False)
 
 
 def window_once_chunks_sql(size: int = 900, overlap: int = 135) -> str:
-    """CTEs up to onces: doc_id, i, a, b of the windows without suffixes and ceiling; p has doc_id, text."""
+    """CTEs up to onces: doc_id, i, a, b of the windows without suffixes and ceiling; given has doc_id, text."""
     step = size - overlap
-    reach = f"greatest(w.first, len(list_filter(q.b, lambda x: x - q.a[w.first] <= {size})))"
+    reach = f"greatest(walk.first, len(list_filter(ends.b, lambda x: x - ends.a[walk.first] <= {size})))"
     slices = f"case when hi - lo <= {size} then 1 else cast(ceil((hi - lo - {size}) / {step}.0) as bigint) + 1 end"
-    return rf"""p as (select doc_id, text, list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]*\s*'), lambda x: length(x)), lambda x: x > 0) as l
+    return rf"""given as (select doc_id, text, list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]*\s*'), lambda x: length(x)), lambda x: x > 0) as l
       from documents where regexp_matches(text, '[\p{{L}}\p{{N}}]')),
-    e as (select doc_id, i, sum(x) over (partition by doc_id order by i) as b, x from (select doc_id, generate_subscripts(l, 1) as i, unnest(l) as x from p)),
-    q as (select doc_id, list(cast(b - x as bigint) order by i) as a, list(cast(b as bigint) order by i) as b from e group by doc_id),
-    w as (select doc_id, cast(1 as bigint) as first from q union all
-      select doc_id, case when last = first and hi - lo > {size} then first + 1
-        else greatest(first + 1, least(last, starts)) end
-      from (select v.doc_id, v.first, v.last, q.a[v.first] as lo, q.b[v.last] as hi, len(q.a) as m,
-          len(list_filter(q.a, lambda x: x <= greatest(q.a[v.first], q.b[v.last] - {overlap}))) as starts
-        from (select w.doc_id, w.first, {reach} as last from w join q on q.doc_id = w.doc_id) v join q on q.doc_id = v.doc_id)
+    sizes as (select doc_id, i, sum(x) over (partition by doc_id order by i) as b, x from (select doc_id, generate_subscripts(l, 1) as i, unnest(l) as x from given)),
+    ends as (select doc_id, list(cast(b - x as bigint) order by i) as a, list(cast(b as bigint) order by i) as b from sizes group by doc_id),
+    walk as (select doc_id, cast(1 as bigint) as first from ends union all
+      select doc_id, case when last = first and hi - lo > {size} then first + 1 else greatest(first + 1, least(last, starts)) end
+      from (select v.doc_id, v.first, v.last, ends.a[v.first] as lo, ends.b[v.last] as hi, len(ends.a) as m,
+          len(list_filter(ends.a, lambda x: x <= greatest(ends.a[v.first], ends.b[v.last] - {overlap}))) as starts
+        from (select walk.doc_id, walk.first, {reach} as last from walk join ends on ends.doc_id = walk.doc_id) v join ends on ends.doc_id = v.doc_id)
       where last < m),
-    r as (select w.doc_id, w.first, q.a[w.first] as lo, q.b[{reach}] as hi from w join q on q.doc_id = w.doc_id),
-    cut as (select doc_id, first, i, lo + i * {step} as a, least(hi, lo + i * {step} + {size}) as b from (select *, unnest(range(0, {slices})) as i from r)),
-    onces as (select doc_id, cast(row_number() over (partition by doc_id order by first, i) - 1 as int) as i, cast(a as int) as a, cast(b as int) as b from cut)"""
+    reached as (select walk.doc_id, walk.first, ends.a[walk.first] as lo, ends.b[{reach}] as hi from walk join ends on ends.doc_id = walk.doc_id),
+    slices as (select doc_id, first, i, lo + i * {step} as a, least(hi, lo + i * {step} + {size}) as b from (select *, unnest(range(0, {slices})) as i from reached)),
+    onces as (select doc_id, cast(row_number() over (partition by doc_id order by first, i) - 1 as int) as i, cast(a as int) as a, cast(b as int) as b from slices)"""
 
 
 def window_once_sql() -> str:
     content = "substr(text, cast(a + 1 as bigint), cast(b - a as bigint))"
     return f"""with recursive {window_once_chunks_sql()}
     select o.doc_id, i as chunk_index, a as start_offset, b as end_offset, {HASH(content)} as content_hash, cast({WORDS(content)} as int) as word_count
-    from onces o join p on p.doc_id = o.doc_id"""
+    from onces o join given on given.doc_id = o.doc_id"""
 
 
 @query(window_sql())
 def window_chunks(spark, sf_dir):
     """Overlapping windows of sentences."""
-    s = chunking.window_chunks(table(spark, sf_dir, "documents"))
+    s = chunking.window_chunks(texts(spark, sf_dir, "doc_id", "text"))
     return s.select("doc_id", "chunk_index", "start_offset", "end_offset", T.content_hash(F.col("content")).alias("content_hash"), "word_count")
 
 
 @query(window_once_sql())
 def window_chunks_once(spark, sf_dir):
     """The same without suffixes and ceiling."""
-    s = chunking.window_chunks(table(spark, sf_dir, "documents"), ONCE)
+    s = chunking.window_chunks(texts(spark, sf_dir, "doc_id", "text"), ONCE)
     return s.select("doc_id", "chunk_index", "start_offset", "end_offset", T.content_hash(F.col("content")).alias("content_hash"), "word_count")
 
 
 def _token_chunks(config: TokenChunkConfig):
     def run(spark, sf_dir):
-        s = chunking.token_chunks(table(spark, sf_dir, "documents"), config)
+        s = chunking.token_chunks(texts(spark, sf_dir, "doc_id", "text"), config)
         return s.select("doc_id", "chunk_index", "estimated_tokens", "start_offset", "end_offset", T.content_hash(F.col("content")).alias("content_hash"))
 
     return run
@@ -646,7 +670,7 @@ def _documents(spark, sf_dir) -> DataFrame:
     """Documents of an index, each with the metadata of its vectors, made by several models."""
     d = table(spark, sf_dir, "documents")
     k = F.col("doc_id") % 5
-    meta = F.when(k != 4, F.struct(F.when(k == 0, "hashing-0").otherwise("hashing-1").alias("version"), F.when(k == 1, "fr").otherwise("en").alias("language"), F.lit(64).alias("dimension"), F.when(k != 2, "word_v1").alias("strategy"), F.lit("hashing-64").alias("model"), F.lit(None).cast("timestamp").alias("created_at")))
+    meta = F.when(k != 4, F.struct(F.when(k == 0, "hashing-0").otherwise("hashing-2").alias("version"), F.when(k == 1, "fr").otherwise("en").alias("language"), F.lit(64).alias("dimension"), F.when(k != 2, "word_v1").alias("strategy"), F.lit("hashing-64").alias("model"), F.lit(None).cast("timestamp").alias("created_at")))
     made = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id"))
     return d.select(F.col("doc_id").cast("string"), F.concat(F.lit("Document "), "doc_id").alias("title"), F.col("source").alias("source_type"), F.concat(F.lit(" /"), (F.col("doc_id") % 100).cast("string")).alias("source_path"), made.alias("created_at"), made.alias("updated_at"), meta.alias("embedding_metadata"))
 
@@ -764,20 +788,43 @@ def _remove(spark: SparkSession, path: str) -> None:
         clear(spark, path)
 
 
-@query()
+def text_search_sql() -> str:
+    content = "substr(text, cast(a + 1 as bigint), cast(b - a as bigint))"
+    given = f"""with recursive {window_once_chunks_sql()},
+    chunk as (select 'chunk_' || o.doc_id || '_' || o.i as chunk_id, cast(o.doc_id as varchar) as document_id, o.i as chunk_index, {content.replace('text', 'given.text')} as content,
+      d.source as source_type, a as start_offset, b as end_offset from onces o join given on given.doc_id = o.doc_id join documents d on d.doc_id = o.doc_id),
+    chunk_t as (select chunk_id as key, content as t from chunk), {embedded_sql("chunk_t", "cv")},
+    asked as (select item_id as query_id, text from benchmark), {expansions_sql("asked", "grown")},
+    grown_text as (select query_id || '.' || place as key, expanded as t from grown), {embedded_sql("grown_text", "qv")},
+    m as (select g.query_id, cv.key as chunk_id, greatest(max({COSINE('cv.v', 'qv.v')}), 0) as score_embedding
+      from grown g join qv on qv.key = g.query_id || '.' || g.place, cv group by 1, 2),
+    s as (select m.query_id, asked.text as query, chunk.*, m.score_embedding from m join asked on asked.query_id = m.query_id join chunk on chunk.chunk_id = m.chunk_id)"""
+    final = "select query_id, cast(place as int) as rank, round(score_final, 6) as score, chunk_id, document_id, source_type, start_offset, end_offset from found"
+    return search_sql("", given=given) + diversify_sql(6, final)
+
+
+@query(text_search_sql())
 def text_search(spark, sf_dir):
-    """From texts to results: chunk, embed, expand queries, search."""
+    """From texts to results: chunk, embed, store the index, expand queries, search."""
     provider = embedding.HashingProvider()
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), F.lit(None).cast("string").alias("title"), F.col("source").alias("source_type"), F.lit(None).cast("string").alias("source_path"), "text")
-    documents, chunks = index.built(docs, provider, F.lit(None).cast("timestamp"), WindowChunkConfig(max_chunks=None, suffix_cascade=False))
+    none = F.lit(None).cast("string")
+    docs = texts(spark, sf_dir, "doc_id", "source", "text").select(F.col("doc_id").cast("string"), none.alias("title"), F.col("source").alias("source_type"), none.alias("source_path"), "text")
+    documents, chunks = index.built(docs, provider, F.lit(None).cast("timestamp"), ONCE)
+    path = f"{shared_dir(spark)}/chunks"
+    write_table(chunks, path)
+    c = read_table(spark, path, f"{schemas.CHUNKS}, vector array<float>").withColumnRenamed("doc_id", "document_id").drop("created_at")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.explode(T.expanded(F.col("text"))).alias("content"))
-    q = embedding.embedded(q, provider).select("query_id", "text", "vector")
-    c = chunks.withColumnRenamed("doc_id", "document_id").select("chunk_id", "document_id", "chunk_index", "content", "start_offset", "end_offset", "vector")
-    d = documents.select(F.col("doc_id").alias("document_id"), "title", "source_type", "source_path")
+    q = embedding.embedded(q, provider).where(F.col("vector").isNotNull()).select("query_id", "text", "vector")
+    d = documents_of(docs)
     found = S.search(q, c.withColumn("source_type", F.lit("")), d)
     return found.select("query_id", "rank", F.round("score", 6).alias("score"), "chunk_id", "document_id", "source_type", "start_offset", "end_offset")
 
 
+def documents_of(docs: DataFrame) -> DataFrame:
+    """The attributes that results take from input rows which all have an id of their own."""
+    return docs.select(F.col("doc_id").alias("document_id"), "title", "source_type", "source_path")
+
+
 @query("select user_id, event_type, count(*) as n from (select distinct event_id, user_id, event_type from events) group by 1, 2")
 def batch_dedupe(spark, sf_dir):
     """The batch form of the streaming dedupe: each key once."""
