@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import logging
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,98 +13,109 @@ from pyspark.sql import functions as F
 
 from quillstone import schemas
 from quillstone.config import CONTEXT_PRESETS, ContextConfig, EngineConfig, SearchConfig, WindowChunkConfig
-from quillstone.functions.text import expanded
+from quillstone.functions.text import expanded, strip_ws
 from quillstone.operators import index as I
 from quillstone.operators.context import contexts
-from quillstone.operators.embedding import HashingProvider, Provider, embedded
+from quillstone.operators.embedding import HashingProvider, Provider, embedded, languages
 from quillstone.operators.search import search
-from quillstone.sources.tables import bucket, clear, read_table, stored_bytes, write_table
+from quillstone.sources.tables import Store, clear, packed, stored_bytes, write_table
 
 log = logging.getLogger("quillstone")
+CHUNKS = f"{schemas.CHUNKS}, vector array<float>"
 
 
 class Engine:
     """An index under path, a folder that all executors share.
 
-    Every change is computed to a staging folder first and then put in place of the buckets that it touches, so a failure leaves the
-    old index. One writer at a time. Queries are DataFrames (query_id, text).
+    Every change is a new version of the store: a failure leaves the old index, readers never see half of a change. One writer
+    at a time. Queries are DataFrames (query_id, text). after_commit gets the ids of changed documents (doc_id), as a
+    DataFrame that can be read until it returns; it must bear being called again.
     """
 
     def __init__(self, spark: SparkSession, path: str, provider: Provider | None = None, config: EngineConfig = EngineConfig(), chunking: WindowChunkConfig = WindowChunkConfig()) -> None:
         self.spark, self.path, self.provider, self.config, self.chunking = spark, path.rstrip("/"), provider or HashingProvider(), config, chunking
-        self.after_commit: Callable[[list[str]], None] | None = None
+        self.store = Store(spark, f"{self.path}/index")
+        self.after_commit: Callable[[DataFrame], None] | None = None
 
     # Tables.
 
-    def _table(self, name: str) -> str:
-        return f"{self.path}/{name}"
-
     @property
     def documents(self) -> DataFrame:
-        return read_table(self.spark, self._table("documents"), schemas.DOCUMENTS)
+        return self.store.read("documents", schemas.DOCUMENTS)
 
     @property
     def chunks(self) -> DataFrame:
-        return read_table(self.spark, self._table("chunks"), f"{schemas.CHUNKS}, vector array<float>")
-
-    def _commit(self, new: dict[str, DataFrame], touched: DataFrame) -> None:
-        """Puts new tables in place of the old ones, in the buckets of touched (doc_id) alone."""
-        stage = f"{self.path}/_staging-{uuid.uuid4().hex}"
-        some = [r["b"] for r in touched.select(bucket().alias("b")).distinct().collect()]  # BUCKETS of them at most
+        return self.store.read("chunks", CHUNKS)
+
+    def _commit(self, new: dict[str, DataFrame], touched: DataFrame | None, stage: str) -> None:
+        """Puts new tables in place of the old ones, in the buckets of touched (doc_id); tells after_commit which of them are there now."""
+        if touched is not None:
+            touched = self._kept(touched.select("doc_id").distinct(), f"{stage}/touched")
+        self.store.commit(new, touched)
+        if self.after_commit is not None:
+            ids = self.documents.select("doc_id")
+            self.after_commit(ids if touched is None else touched.join(ids, "doc_id", "left_semi"))
+
+    def _kept(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    @contextlib.contextmanager
+    def _stage(self) -> Iterator[str]:
+        stage = f"{self.path}/staging-{uuid.uuid4().hex}"
         try:
-            for name, df in new.items():
-                df.withColumn("bucket", bucket()).where(F.col("bucket").isin(*some)).write.partitionBy("bucket").parquet(f"{stage}/{name}")
-            told = None
-            if self.after_commit is not None:  # touched may read what is about to be replaced
-                ids = self.spark.read.schema("doc_id string, bucket int").parquet(f"{stage}/documents")
-                told = sorted(r["doc_id"] for r in ids.join(touched.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id").collect())
-            for name in new:
-                staged = self.spark.read.schema(f"{schemas.DOCUMENTS if name == 'documents' else schemas.CHUNKS + ', vector array<float>'}, bucket int").parquet(f"{stage}/{name}")
-                staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self._table(name))
-                full = {r["bucket"] for r in staged.select("bucket").distinct().collect()}
-                clear(self.spark, *[f"{self._table(name)}/bucket={b}" for b in some if b not in full])
-            if told is not None:
-                self.after_commit(told)
+            yield stage
         finally:
             clear(self.spark, stage)
 
     # Changes.
 
     def index(self, df: DataFrame) -> None:
-        """Indexes input rows (schemas.INPUT), in place of documents with the same ids. Documents of the same type and path under other ids go, for rows that were given no id."""
+        """Indexes input rows (schemas.INPUT), in place of documents with the same ids. Documents of the same type and path under other ids go, for rows that were given no id.
+
+        Texts are chunked and embedded once: what the model gives is stored before it is put in place.
+        """
         if not self.config.enabled:
             return
-        df = df.persist()
-        documents, chunks = I.built(df, self.provider, F.current_timestamp(), self.chunking)
-        hashed = I.identified(df).where(F.col("id_strategy") == "source_path_hash").select("doc_id", "source_type", "source_path")
-        gone = I.same_source(self.documents, hashed)
-        kept_documents, kept_chunks = I.deleted(self.documents, gone), I.deleted(self.chunks, gone)
-        touched = documents.select("doc_id").unionAll(gone).distinct()
-        self._commit({"documents": I.upserted(kept_documents, documents), "chunks": I.replaced(kept_chunks, chunks)}, touched)
-        df.unpersist()
+        with self._stage() as stage:
+            df = self._kept(df, f"{stage}/input")
+            documents, chunks = I.built(df, self.provider, F.current_timestamp(), self.chunking, lambda c: self._kept(c, f"{stage}/chunks"))
+            documents = self._kept(documents, f"{stage}/documents")
+            hashed = I.identified(df).where(F.col("id_strategy") == "source_path_hash").select("doc_id", "source_type", "source_path")
+            gone = self._kept(I.same_source(self.documents, hashed), f"{stage}/gone")
+            kept_documents, kept_chunks = I.deleted(self.documents, gone), I.deleted(self.chunks, gone)
+            touched = documents.select("doc_id").unionAll(gone)
+            self._commit({"documents": I.upserted(kept_documents, documents), "chunks": I.replaced(kept_chunks, chunks)}, touched, stage)
 
     def delete(self, ids: DataFrame) -> None:
         """Documents of ids (doc_id) with their chunks."""
-        self._commit({"documents": I.deleted(self.documents, ids), "chunks": I.deleted(self.chunks, ids)}, ids)
+        with self._stage() as stage:
+            ids = self._kept(ids.select("doc_id").distinct(), f"{stage}/ids")
+            self._commit({"documents": I.deleted(self.documents, ids), "chunks": I.deleted(self.chunks, ids)}, ids, stage)
 
     def delete_source(self, source_type: str, source_path: str, except_id: str | None = None) -> None:
-        found = self.documents.where((F.col("source_type") == source_type) & (F.trim("source_path") == source_path.strip()))
+        found = self.documents.where((F.col("source_type") == source_type) & (strip_ws(F.col("source_path")) == strip_ws(F.lit(source_path))))
         self.delete(found.where(F.col("doc_id") != except_id) if except_id is not None else found)
 
     def reconcile(self) -> None:
         """Embeds documents anew whose vectors another model made."""
-        stale = self.documents.where(I.is_stale(F.col("embedding_metadata"), self.provider.info)).select("doc_id")
-        documents, chunks = I.refreshed(self.documents, self.chunks, self.provider)
-        self._commit({"documents": documents, "chunks": chunks}, stale)
+        with self._stage() as stage:
+            stale = self._kept(self.documents.where(I.is_stale(F.col("embedding_metadata"), self.provider.info)).select("doc_id"), f"{stage}/stale")
+            documents, chunks = I.refreshed(self.documents, self.chunks, self.provider, lambda c: self._kept(c, f"{stage}/chunks"))
+            self._commit({"documents": documents, "chunks": chunks}, stale, stage)
+
+    def save_all(self) -> None:
+        """Writes every bucket anew: many small files become few."""
+        with self._stage() as stage:
+            self._commit({"documents": self.documents, "chunks": self.chunks}, None, stage)
 
     def clear(self) -> None:
-        clear(self.spark, self._table("documents"), self._table("chunks"), self._table("vectors"))
+        clear(self.spark, self.store.path, f"{self.path}/vectors")
 
     def export_vectors(self) -> None:
         """All vectors in 8 bits each, one range a document, under vectors."""
-        from quillstone.sources.tables import packed
-
-        write_table(packed(I.quantized_vectors(self.chunks.where(F.col("vector").isNotNull()).select("chunk_id", "doc_id", "vector"))), self._table("vectors"))
+        vectors = self.chunks.where(F.col("vector").isNotNull()).select("chunk_id", "doc_id", "vector")
+        write_table(packed(I.quantized_vectors(vectors)), f"{self.path}/vectors", self.store.current()["buckets"] or 1)
 
     # Queries.
 
@@ -153,16 +165,30 @@ class Engine:
     def all_documents(self) -> DataFrame:
         return self.documents.orderBy(F.desc("created_at"), "doc_id")
 
+    def indexed_ids(self) -> DataFrame:
+        return self.documents.select("doc_id")
+
+    def vectors_of(self, ids: DataFrame) -> DataFrame:
+        """chunk_id, doc_id, vector of the documents or chunks in ids (doc_id or chunk_id); other columns aren't read."""
+        return self.chunks.select("chunk_id", "doc_id", "vector").join(ids.distinct(), ids.columns[0], "left_semi")
+
     def stats(self) -> DataFrame:
-        return I.store_stats(self.documents, self.chunks, self.provider.info.dimension)
+        """I.store_stats(), and what is stored, in bytes and in units of 1,000,000."""
+        size = {name: sum(stored_bytes(self.spark, f"{self.store.path}/{f}") for f in folders.values()) for name, folders in self.store.current()["tables"].items()}
+        documents, chunks = size.get("documents", 0), size.get("chunks", 0)
+        found = I.store_stats(self.documents, self.chunks, self.provider.info.dimension)
+        mb = {"storage_mb": documents + chunks, "metadata_mb": documents, "embeddings_mb": chunks}
+        return found.withColumn("storage_bytes", F.lit(documents + chunks)).withColumns({k: F.lit(v / 1e6) for k, v in mb.items()})
 
     def document_stats(self) -> DataFrame:
         return I.document_stats(self.documents, self.chunks)
 
-    def describe(self) -> dict:
-        i = self.provider.info
-        return {"enabled": self.config.enabled, "version": i.version, "strategy": i.strategy, "dimension": i.dimension, "language": i.language, "model": i.model, "bytes": stored_bytes(self.spark, self.path) if self.exists_path() else 0}
+    def diagnostics(self) -> DataFrame:
+        """One row: the engine's flags, its provider, and stats()."""
+        i, known = self.provider.info, languages(self.provider)
+        flags = {"enabled": self.config.enabled, "available": bool(known), "language": i.language, "strategy": i.strategy, "version": i.version, "model": i.model, "dimension": i.dimension}
+        columns = {k: F.lit(v) for k, v in flags.items()} | {"languages": F.array(*[F.lit(x) for x in known])}
+        return self.stats().withColumns(columns)
 
-    def exists_path(self) -> bool:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    def describe(self) -> dict:
+        return self.diagnostics().first().asDict() | {"bytes": stored_bytes(self.spark, self.path)}

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from quillstone import schemas
-from quillstone.config import SENTENCE_PRESETS, TOKEN_PRESETS, WindowChunkConfig
+from quillstone.config import SENTENCE_PRESETS, SYNONYMS, TOKEN_PRESETS, WindowChunkConfig
 
 SCALARS = {
     "content_hash(t STRING) RETURNS STRING": "substring(sha2(t, 256), 1, 32)",
@@ -17,6 +17,10 @@ SCALARS = {
     "estimate_tokens(t STRING) RETURNS INT": "cast(ceil(length(t) / 4.0D) as int)",
     "vector_dot(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": "case when size(a) = size(b) then aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x) end",
     "vector_cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": "case when size(a) = size(b) and size(a) > 0 then try_divide(aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x), sqrt(aggregate(a, 0D, (s, x) -> s + x * x) * aggregate(b, 0D, (s, x) -> s + x * x))) end",
+    "truncate_words(t STRING, n INT) RETURNS STRING": "case when length(t) <= n then t when instr(left(t, n), ' ') > 0 then concat(regexp_replace(left(t, n), ' [^ ]*$', ''), '...') else concat(left(t, n), '...') end",
+    "bm25_term(tf DOUBLE, n_terms DOUBLE) RETURNS DOUBLE": "2D * tf * 2.5D / (tf + 1.5D * (0.25D + 0.75D * n_terms / 200D))",
+    "quantize_vector(v ARRAY<DOUBLE>, low DOUBLE, high DOUBLE) RETURNS ARRAY<INT>": "transform(v, x -> least(255, greatest(0, cast((x - low) / (greatest(high - low, 1e-6D) / 255D) as int))))",
+    "dequantize_vector(q ARRAY<INT>, low DOUBLE, high DOUBLE) RETURNS ARRAY<DOUBLE>": "transform(q, x -> x * (greatest(high - low, 1e-6D) / 255D) + low)",
 }
 
 
@@ -26,6 +30,8 @@ def register(spark: SparkSession) -> None:
 
     for head, body in SCALARS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+    pairs = ", ".join(f"'{w}', array('{a}', '{b}')" for w, (a, b) in SYNONYMS.items())
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION synonyms(w STRING) RETURNS ARRAY<STRING> RETURN try_element_at(map({pairs}), lower(w))")
 
     @udtf(returnType=schemas.WINDOW_CHUNK)
     class Window:

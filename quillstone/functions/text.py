@@ -56,6 +56,21 @@ def canonical_id(explicit: Column, source_type: Column, path: Column) -> tuple[C
     return F.coalesce(given, hashed), strategy
 
 
+def cache_key(language: Column, strategy: Column, text: Column) -> Column:
+    """By which a text's vector can be kept: language, strategy and the first 256 characters."""
+    return F.concat_ws("|", language, strategy, F.left(text, F.lit(256)))
+
+
+def search_key(query: Column, top_k: Column, min_score: Column, expand: Column, hybrid: Column, filters: Column) -> Column:
+    """By which a search's results can be kept: a hash of the query in lower case with single blanks, the parameters (no least score: -1), and the filters (a map) by name."""
+    entries = F.array_sort(F.transform(F.map_entries(filters), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    flag = lambda c: F.when(c, "1").otherwise("0")
+    normal = F.lower(F.regexp_replace(strip_ws(query), r"\s+", " "))
+    parts = [normal, F.concat(F.lit("k="), top_k.cast("string")), F.concat(F.lit("min="), F.coalesce(min_score, F.lit(-1.0)).cast("string"))]
+    parts += [F.concat(F.lit("qe="), flag(expand)), F.concat(F.lit("hy="), flag(hybrid)), F.concat(F.lit("f="), F.coalesce(F.array_join(entries, "&"), F.lit("")))]
+    return content_hash(F.concat_ws("|", *parts))
+
+
 def source_label(source_type: Column) -> Column:
     out = F.initcap(source_type)
     for name, label in SOURCE_LABELS.items():
@@ -68,12 +83,15 @@ def language_supported(lang: Column) -> Column:
 
 
 def detected_language(c: Column) -> Column:
-    """The language whose frequent words a text holds most of, the first in FREQUENT_WORDS' order if several do; en for none."""
+    """The language whose frequent words a text holds most of, the first in FREQUENT_WORDS' order if several do.
+
+    With none of them: Japanese if there is kana, Chinese if there are Han characters, else en.
+    """
     words = F.split(F.lower(c), NOT_WORD)
     count = lambda some: F.size(F.filter(words, lambda x: x.isin(*some)))
     hits = [(lang, count(some)) for lang, some in FREQUENT_WORDS.items()]
     best = F.greatest(*[n for _, n in hits])
-    out = F.lit("en")
+    out = F.when(F.rlike(c, F.lit(r"[\p{IsHiragana}\p{IsKatakana}]")), "ja").when(F.rlike(c, F.lit(r"\p{IsHan}")), "zh-Hans").otherwise("en")
     for lang, n in reversed(hits):
         out = F.when((n == best) & (best > 0), lang).otherwise(out)
     return out

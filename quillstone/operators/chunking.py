@@ -351,3 +351,9 @@ def token_chunks(df: DataFrame, config: TokenChunkConfig = TokenChunkConfig(), t
     Offsets are places in the tidied text that a chunk's own part comes from; the tail of the chunk before, which heads it, isn't counted.
     """
     return exploded(df, lambda t: token_chunk_rows(t, config), schemas.TOKEN_CHUNK, text_col, keep)
+
+
+def with_summaries(chunks: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Token chunks (doc_id, chunk_index, ...) with previous_summary: what summaries (doc_id, chunk_index, summary) say of the chunk before; null for the first, and where nothing is said."""
+    before = summaries.select("doc_id", (F.col("chunk_index") + 1).alias("chunk_index"), F.col("summary").alias("previous_summary"))
+    return chunks.join(before, ["doc_id", "chunk_index"], "left")

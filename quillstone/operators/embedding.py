@@ -7,7 +7,9 @@ embedded_once() embeds the different texts of a whole table and joins them back,
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -80,6 +82,72 @@ class Chain:
         return out
 
 
+class Guarded:
+    """A provider that rests after a failure: for cool_down seconds, or for good if it isn't permitted. While it rests it embeds nothing, so that the next of a Chain does."""
+
+    def __init__(self, provider: Provider, cool_down: float = 300.0, clock: Callable[[], float] = time.monotonic) -> None:
+        self.provider, self.info, self.cool_down, self.clock = provider, provider.info, cool_down, clock
+        self.until, self.reason = 0.0, None
+
+    @property
+    def healthy(self) -> bool:
+        return self.clock() >= self.until
+
+    def embed(self, texts: list[str]) -> list[list[float] | None]:
+        if not self.healthy:
+            return [None] * len(texts)
+        try:
+            return self.provider.embed(texts)
+        except Exception as e:  # noqa: BLE001  whatever a model raises
+            forbidden = isinstance(e, PermissionError) or "permission" in str(e).lower()
+            self.until = math.inf if forbidden else self.clock() + self.cool_down
+            self.reason = "permission denied" if forbidden else "runtime error"
+            return [None] * len(texts)
+
+
+class Registry:
+    """Providers by language; a text of another language goes to the fallback's."""
+
+    def __init__(self, providers: dict[str, Provider], fallback: str = "en") -> None:
+        self.providers, self.fallback, self.info = providers, fallback, providers[fallback].info
+
+    def available(self, language: str) -> bool:
+        return language in self.providers
+
+    def of(self, language: str | None) -> Provider:
+        return self.providers.get(language, self.providers[self.fallback])
+
+    def embed(self, texts: list[str]) -> list[list[float] | None]:
+        return self.of(self.fallback).embed(texts)
+
+
+def languages(provider: Provider) -> list[str]:
+    """The languages that a provider is made for, sorted."""
+    return sorted(provider.providers) if isinstance(provider, Registry) else [provider.info.language]
+
+
+def embedded_by_language(df: DataFrame, registry: Registry, language_col: str, text_col: str = "content") -> DataFrame:
+    """df with vector, and vector_language, the language of the provider that made it; both null where there is no vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            asked = batch.column(batch.schema.get_field_index(language_col)).to_pylist()
+            made: list[tuple] = [(None, None)] * len(texts)
+            used = [x if registry.available(x) else registry.fallback for x in asked]
+            for language in set(used):
+                some = [i for i, x in enumerate(used) if x == language and (texts[i] or "").strip()]
+                for i, v in zip(some, registry.of(language).embed([texts[i] for i in some]), strict=True):
+                    made[i] = (v, language if v is not None else None)
+            batch = batch.append_column("vector", pa.array([v for v, _ in made], pa.list_(pa.float32())))
+            yield batch.append_column("vector_language", pa.array([x for _, x in made], pa.string()))
+
+    from pyspark.sql.types import ArrayType, FloatType, StringType, StructType
+
+    df = df.drop("vector", "vector_language")
+    return df.mapInArrow(run, StructType([*df.schema.fields]).add("vector", ArrayType(FloatType())).add("vector_language", StringType()))
+
+
 def embedded(df: DataFrame, provider: Provider, text_col: str = "content") -> DataFrame:
     """df with vector (array<float>, null where the provider has none or the text is blank). The provider is made once a task."""
 

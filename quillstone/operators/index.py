@@ -5,6 +5,8 @@ An index is a set of DataFrames (documents, chunks, vectors); every change gives
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +29,17 @@ def identified(df: DataFrame) -> DataFrame:
     return rows.withColumn("content_hash", content_hash(F.concat_ws("\x01", "title", "source_type", "source_path", "text"))).dropDuplicates(["doc_id", "content_hash"])
 
 
-def built(df: DataFrame, provider: Provider, now: Column, config: WindowChunkConfig = WindowChunkConfig()) -> tuple[DataFrame, DataFrame]:
-    """(documents, chunks with vectors) of input rows. Of several contents under one id the one of least hash stays. Chunks that can't be embedded are dropped, with gaps in the index; a document without any chunk left isn't in either."""
+def built(df: DataFrame, provider: Provider, now: Column, config: WindowChunkConfig = WindowChunkConfig(), keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, chunks with vectors) of input rows. Of several contents under one id the one of least hash stays.
+
+    Chunks that can't be embedded are dropped, with gaps in the index; a document without any chunk left isn't in either. keep
+    may store the chunks, as both results come from them, and reads what it stored.
+    """
     rows = identified(df)
     rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("title", "source_type", "source_path", "text", "id_strategy"), "content_hash").alias("r")).select("doc_id", "r.*")
     chunks = embedded(window_chunks(rows, config), provider).where(F.col("vector").isNotNull())
     chunks = chunks.select(chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "content", "chunk_index", "start_offset", "end_offset", now.alias("created_at"), "vector")
+    chunks = keep(chunks) if keep is not None else chunks
     documents = rows.select("doc_id", "title", "source_type", "source_path", now.alias("created_at"), now.alias("updated_at"), provider.info.column().alias("embedding_metadata"))
     return documents.join(chunks.select("doc_id").distinct(), "doc_id", "left_semi"), chunks
 
@@ -67,10 +74,11 @@ def is_stale(meta: Column, now: ModelInfo) -> Column:
     return ~F.coalesce(same, F.lit(False))
 
 
-def refreshed(documents: DataFrame, chunks: DataFrame, provider: Provider) -> tuple[DataFrame, DataFrame]:
-    """Stale documents embedded anew, all of a document's chunks or none."""
+def refreshed(documents: DataFrame, chunks: DataFrame, provider: Provider, keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Stale documents embedded anew, all of a document's chunks or none; keep as in built()."""
     stale = documents.where(is_stale(F.col("embedding_metadata"), provider.info)).select("doc_id")
     new = embedded(chunks.join(stale, "doc_id", "left_semi"), provider)
+    new = keep(new) if keep is not None else new
     whole = new.groupBy("doc_id").agg(F.count_if(F.col("vector").isNull()).alias("n")).where("n = 0").select("doc_id")
     new = new.join(whole, "doc_id", "left_semi")
     done = whole.withColumn("__done", F.lit(True))
@@ -96,11 +104,15 @@ def document_stats(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def store_stats(documents: DataFrame, chunks: DataFrame, dimension: int) -> DataFrame:
-    """One row: documents, chunks, chunks a document, bytes of float and of quantised vectors."""
-    d, c = documents.agg(F.count(F.lit(1)).alias("n_documents")), chunks.agg(F.count(F.lit(1)).alias("n_chunks"))
-    both = d.crossJoin(c)  # one row each
+    """One row: documents, chunks, chunks a document, bytes of float and of quantised vectors, chunks and documents with vectors."""
+    d = documents.agg(F.count(F.lit(1)).alias("n_documents"))
+    has = F.col("vector").isNotNull() if "vector" in chunks.columns else F.lit(False)
+    c = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(has).alias("v"))
+    sums = (F.sum("n").alias("n_chunks"), F.sum("v").alias("n_vectors"), F.count_if(F.col("v") > 0).alias("n_embedded_documents"))
+    both = d.crossJoin(c.agg(*sums)).na.fill(0)  # one row each
     mean = F.when(F.col("n_documents") > 0, F.round(F.col("n_chunks") / F.col("n_documents"), 6)).otherwise(0.0)
-    return both.select("n_documents", "n_chunks", mean.alias("chunks_per_document"), (F.col("n_chunks") * dimension * 4).alias("float_bytes"), (F.col("n_chunks") * dimension).alias("quantized_bytes"))
+    sizes = ((F.col("n_chunks") * dimension * 4).alias("float_bytes"), (F.col("n_chunks") * dimension).alias("quantized_bytes"))
+    return both.select("n_documents", "n_chunks", mean.alias("chunks_per_document"), *sizes, "n_vectors", "n_embedded_documents")
 
 
 def chunks_in_order(chunks: DataFrame) -> DataFrame:

@@ -1,38 +1,126 @@
-"""Reading and writing an index: Parquet by bucket of documents, JSON of earlier formats, binary vectors."""
+"""Reading and writing an index: Parquet by bucket of documents in versions, JSON of earlier formats, binary vectors."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone import schemas
 from quillstone.functions.text import chunk_id
 
-BUCKETS = 64
+#: Documents of a bucket, about.
+BUCKET_DOCUMENTS = 10_000
 
 
-def bucket():
+def bucket(buckets: int) -> Column:
     """The part of the layout that a document lies in; ids are never parts of paths."""
-    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table of this index, or an empty one where nothing was written yet. Other errors are raised."""
+def _files(spark: SparkSession, path: str):
+    """(Hadoop's path, its file system)."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(f"{schema}, bucket int").parquet(path).drop("bucket")
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, files = _files(spark, path)
+    return files.exists(where)
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """All of a table."""
-    df.withColumn("bucket", bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder, sorted; nothing if it isn't there."""
+    where, files = _files(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(where)) if files.exists(where) else []
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that write_table() wrote, or an empty one where nothing was written yet. Other errors are raised."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, bucket int").parquet(path).drop("bucket")
 
 
-def write_buckets(df: DataFrame, path: str, touched: DataFrame) -> None:
-    """Only the buckets that touched (doc_id) documents lie in; df must not read what lies under path."""
-    some = df.withColumn("bucket", bucket()).join(touched.select(bucket().alias("bucket")).distinct(), "bucket", "left_semi")
-    some.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def write_table(df: DataFrame, path: str, buckets: int | None = None) -> None:
+    """All of a table, by default in as many buckets as shuffles have parts."""
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.withColumn("bucket", bucket(buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+class Store:
+    """Tables under path, in versions.
+
+    A version is a small file that names the folder of each bucket of each table. A commit writes new folders for the buckets
+    that it touches and then the next version's file, by one rename: readers see all of a commit or nothing, and a commit that
+    fails leaves the version before. One writer at a time. The version before the last stays readable, older ones go. The
+    number of buckets follows that of documents; when it doubles, all buckets are written anew.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def _versions(self) -> list[str]:
+        return [n for n in names(self.spark, f"{self.path}/versions") if n.endswith(".json")]
+
+    def _version(self, name: str) -> dict:
+        where, files = _files(self.spark, f"{self.path}/versions/{name}")
+        stream = files.open(where)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def current(self) -> dict:
+        """The last version: buckets, documents (their number) and tables (folders by table and bucket)."""
+        known = self._versions()
+        return self._version(known[-1]) if known else {"buckets": 0, "documents": 0, "tables": {}}
+
+    def read(self, name: str, schema: str) -> DataFrame:
+        folders = [f"{self.path}/{f}" for f in self.current()["tables"].get(name, {}).values()]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def commit(self, new: dict[str, DataFrame], touched: DataFrame | None) -> None:
+        """Puts tables new in place of the old ones, in the buckets of touched (doc_id; None: everywhere)."""
+        old = self.current()
+        n = old["documents"] + (touched.count() if touched is not None else 0)
+        buckets = old["buckets"]
+        wanted = max(1, 1 << (max(n, 1) // BUCKET_DOCUMENTS).bit_length())
+        whole = touched is None or not buckets or wanted > 2 * buckets
+        buckets = wanted if whole else buckets
+        some = range(buckets) if whole else [r["b"] for r in touched.select(bucket(buckets).alias("b")).distinct().collect()]
+        folder, tables = f"data/{uuid.uuid4().hex}", {}
+        for name, df in new.items():
+            rows = df.withColumn("bucket", bucket(buckets))
+            rows = rows if whole else rows.where(F.col("bucket").isin(*some))
+            rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}/{name}")
+            made = {f.partition("=")[2] for f in names(self.spark, f"{self.path}/{folder}/{name}") if f.startswith("bucket=")}
+            kept = {} if whole else {b: f for b, f in old["tables"].get(name, {}).items() if int(b) not in some}
+            tables[name] = kept | {b: f"{folder}/{name}/bucket={b}" for b in made}
+        folders = [f"{self.path}/{f}" for f in tables.get("documents", {}).values()]
+        count = self.spark.read.parquet(*folders).count() if folders else 0
+        self._publish({"buckets": buckets, "documents": count, "tables": old["tables"] | tables})
+        self._clean()
+
+    def _publish(self, version: dict) -> None:
+        known = self._versions()
+        number = int(known[-1].partition(".")[0]) + 1 if known else 1
+        draft, files = _files(self.spark, f"{self.path}/versions/.draft-{uuid.uuid4().hex}")
+        out = files.create(draft, True)
+        out.write(bytearray(json.dumps(version).encode()))
+        out.close()
+        final, _ = _files(self.spark, f"{self.path}/versions/{number:09d}.json")
+        if files.exists(final) or not files.rename(draft, final):
+            raise RuntimeError(f"version {number} of {self.path} was written by someone else")
+
+    def _clean(self) -> None:
+        known = self._versions()
+        used = {f for n in known[-2:] for t in self._version(n)["tables"].values() for f in t.values()}
+        for n in known[:-2]:
+            gone = {f for t in self._version(n)["tables"].values() for f in t.values()} - used
+            clear(self.spark, *[f"{self.path}/{f}" for f in gone], f"{self.path}/versions/{n}")
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -40,9 +128,14 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_legacy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(chunks, vectors) of the older single JSON file with vectors inline."""
+def read_legacy(spark: SparkSession, path: str, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chunks, vectors) of the older single JSON file with vectors inline; those of the documents in ids (doc_id) alone, if given.
+
+    Chunks are read without the vectors, which Spark's reader leaves unparsed.
+    """
     old = read_json(spark, path, schemas.LEGACY_CHUNKS)
+    if ids is not None:
+        old = old.join(ids.select(F.col("doc_id").alias("documentId")).distinct(), "documentId", "left_semi")
     chunks = old.select(F.coalesce("id", chunk_id(F.col("documentId"), F.col("index"))).alias("chunk_id"), F.col("documentId").alias("doc_id"), "content", F.col("index").alias("chunk_index"), F.col("startOffset").alias("start_offset"), F.col("endOffset").alias("end_offset"), F.col("createdAt").alias("created_at"))
     vectors = old.where(F.size("embedding") > 0).select(F.coalesce("id", chunk_id(F.col("documentId"), F.col("index"))).alias("chunk_id"), F.col("documentId").alias("doc_id"), F.col("embedding").alias("vector"))
     return chunks, vectors
@@ -60,13 +153,49 @@ def unpacked(v: DataFrame) -> DataFrame:
     return v.withColumn("q", F.when(F.col("dim") > 0, numbers).otherwise(F.expr("cast(array() as array<int>)")))
 
 
+#: What lies before the numbers in a vector file: its length in 4 bytes, then JSON.
+HEADER = "version int, chunkIds array<string>, params struct<minValue: float, maxValue: float, dimension: int>"
+
+
+def vector_files(q: DataFrame) -> DataFrame:
+    """doc_id, content: quantised vectors (chunk_id, doc_id, chunk_index, q, q_min, q_max) as the bytes of one file a document."""
+    rows = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "q")))
+    docs = q.groupBy("doc_id").agg(rows.alias("r"), F.first("q_min").cast("float").alias("minValue"), F.first("q_max").cast("float").alias("maxValue"))
+    params = F.struct("minValue", "maxValue", F.size(F.element_at("r", 1)["q"]).alias("dimension"))
+    header = F.to_json(F.struct(F.lit(1).alias("version"), F.transform("r", lambda x: x["chunk_id"]).alias("chunkIds"), params.alias("params")))
+    size = F.lpad(F.hex(F.octet_length(header)), 8, "0")
+    little = F.concat(*[F.substring(size, k, 2) for k in (7, 5, 3, 1)])
+    numbers = F.array_join(F.transform(F.flatten(F.transform("r", lambda x: x["q"])), lambda x: F.lpad(F.hex(x), 2, "0")), "")
+    return docs.select("doc_id", F.concat(F.unhex(little), F.encode(header, "UTF-8"), F.unhex(numbers)).alias("content"))
+
+
+def parsed_vector_files(files: DataFrame) -> DataFrame:
+    """chunk_id, chunk_index, q, q_min, q_max, dim of files (content); a file that is cut short gives what is whole."""
+    size = F.hex(F.substring("content", 1, 4))
+    n = F.conv(F.concat(*[F.substring(size, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("int")
+    rows = files.withColumn("__n", n).where(F.octet_length("content") >= 4 + F.col("__n"))
+    header = F.from_json(F.decode(F.expr("substring(content, 5, __n)"), "UTF-8"), HEADER)
+    rows = rows.select(header.alias("h"), F.hex(F.expr("substring(content, 5 + __n)")).alias("numbers")).where(F.col("h.params.dimension") > 0)
+    rows = rows.select(F.posexplode("h.chunkIds").alias("chunk_index", "chunk_id"), "numbers", F.col("h.params").alias("p"))
+    rows = rows.where(F.length("numbers") >= (F.col("chunk_index") + 1) * F.col("p.dimension") * 2)
+    at = lambda i: (F.col("chunk_index") * F.col("p.dimension") + i) * 2 + 1
+    q = F.transform(F.sequence(F.lit(0), F.col("p.dimension") - 1), lambda i: F.conv(F.substring(F.col("numbers"), at(i), F.lit(2)), 16, 10).cast("int"))
+    return rows.select("chunk_id", "chunk_index", q.alias("q"), F.col("p.minValue").alias("q_min"), F.col("p.maxValue").alias("q_max"), F.col("p.dimension").alias("dim"))
+
+
+def read_vector_files(spark: SparkSession, path: str, suffix: str = "*.bin") -> DataFrame:
+    """What parsed_vector_files() gives for the files in a folder; Spark reads only those that a filter on their path leaves."""
+    return parsed_vector_files(spark.read.format("binaryFile").option("pathGlobFilter", suffix).load(path))
+
+
 def stored_bytes(spark: SparkSession, path: str) -> int:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    """Bytes of all files in a folder; 0 if it isn't there."""
+    where, files = _files(spark, path)
+    return files.getContentSummary(where).getLength() if files.exists(where) else 0
 
 
 def clear(spark: SparkSession, *paths: str) -> None:
     """Deletes an index's tables, with whatever lies in them."""
     for path in paths:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        where, files = _files(spark, path)
+        files.delete(where, True)

@@ -17,14 +17,14 @@ def deduplicated(stream: DataFrame, within: str = "2 minutes") -> DataFrame:
     return stream.withColumn("content_hash", content_hash(whole)).withWatermark("ts", within).dropDuplicatesWithinWatermark(["doc_id", "content_hash"])
 
 
-def ingest(stream: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str, within: str = "2 minutes", after: Callable[[list[str]], None] | None = None) -> StreamingQuery:
-    """Starts the query: upsert(batch, number) for each batch, then after(ids of its documents), a hook for synchronising elsewhere; it must bear being called again for a batch."""
+def ingest(stream: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str, within: str = "2 minutes", after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+    """Starts the query: upsert(batch, number) for each batch, then after(its documents' ids (doc_id)), a hook for synchronising elsewhere; it must bear being called again for a batch."""
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
         upsert(batch, number)
         if after is not None:
-            after([r["doc_id"] for r in batch.select("doc_id").distinct().toLocalIterator()])
+            after(batch.select("doc_id").distinct())
         batch.unpersist()
 
     return deduplicated(stream, within).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(each).start()

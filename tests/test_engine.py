@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from quillstone.config import ContextConfig, EngineConfig, SearchConfig, WindowChunkConfig
 from quillstone.engine import Engine
 from quillstone.functions.register import register
-from quillstone.operators.embedding import Chain, HashingProvider, embedded, mean_vectors
-from quillstone.sources.tables import read_legacy, read_table
+from quillstone.operators.chunking import with_summaries
+from quillstone.operators.embedding import Chain, Guarded, HashingProvider, Registry, embedded, embedded_by_language, embedded_once, mean_vectors
+from quillstone.sources import tables
+from quillstone.sources.tables import Store, names, read_legacy, read_table, read_vector_files, vector_files
 
 INPUT = "doc_id string, title string, source_type string, source_path string, text string"
 
@@ -30,7 +32,7 @@ def ask(spark, *texts):
 def test_life(spark, engine):
     assert engine.search(ask(spark, "anything")).count() == 0 and engine.stats().first()["n_documents"] == 0
     told = []
-    engine.after_commit = told.extend
+    engine.after_commit = lambda ids: told.extend(r["doc_id"] for r in ids.collect())
     engine.index(rows(spark, ("a", "Cells", "ai_note", "/a", "Mitochondria make energy. Cells hold many of them."), (None, "Rocks", "document", "/r", "Granite is a hard rock. Basalt is dark."), ("empty", "E", "document", "/e", " ")))
     assert engine.stats().first()["n_documents"] == 2 and "a" in told and engine.exists("a") and engine.has_embeddings("a") and not engine.exists("empty")
     found = engine.search(ask(spark, "granite rock", "")).collect()
@@ -45,7 +47,7 @@ def test_life(spark, engine):
     assert "[Document: Rocks]" in made[0]["context"] and made[0]["has_context"] and made[1]["context"] == "" and not made[1]["has_context"]
     engine.delete(spark.createDataFrame([("a",)], "doc_id string"))
     assert not engine.exists("a") and engine.chunks_of("a").count() == 0 and engine.stats().first()["n_documents"] == 1
-    engine.delete_source("document", "/r ")
+    engine.delete_source("document", "/r \n")
     assert engine.all_documents().count() == 0 and engine.chunks.count() == 0
     engine.clear()
     assert engine.describe()["dimension"] == 128
@@ -60,6 +62,113 @@ def test_reconcile_and_vectors(spark, engine):
     assert read_table(spark, f"{other.path}/vectors", "chunk_id string, doc_id string, q binary, q_min float, q_max float, dim int").where("length(q) = 16").count() == 20
 
 
+def test_a_commit_that_fails_leaves_the_index(spark, engine, monkeypatch):
+    engine.index(rows(spark, ("a", "A", "quiz", "/a", "First text here."), ("b", "B", "quiz", "/b", "Second text here.")))
+    before = sorted((r["doc_id"], r["title"]) for r in engine.documents.collect())
+    chunks = sorted(r["content"] for r in engine.chunks.collect())
+
+    def fail(self, version):
+        raise OSError("disk full")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_publish", fail)
+        with pytest.raises(OSError):
+            engine.index(rows(spark, ("a", "Changed", "quiz", "/a", "Other words.")))
+    assert sorted((r["doc_id"], r["title"]) for r in engine.documents.collect()) == before
+    assert sorted(r["content"] for r in engine.chunks.collect()) == chunks
+    held = engine.documents  # of this version
+    engine.index(rows(spark, ("a", "Changed", "quiz", "/a", "Other words.")))
+    assert sorted((r["doc_id"], r["title"]) for r in held.collect()) == before and engine.document("a").first()["title"] == "Changed"
+
+
+def test_buckets_follow_the_documents(spark, engine, monkeypatch):
+    monkeypatch.setattr(tables, "BUCKET_DOCUMENTS", 4)
+    many = lambda a, b: rows(spark, *[(str(i), "t", "quiz", f"/{i}", f"Text number {i} is here.") for i in range(a, b)])
+    engine.index(many(0, 3))
+    assert engine.store.current()["buckets"] == 1
+    engine.index(many(3, 40))
+    first = engine.store.current()
+    assert first["buckets"] == 16 and first["documents"] == 40
+    engine.delete(spark.createDataFrame([("7",)], "doc_id string"))
+    after = engine.store.current()
+    same = [b for b in first["tables"]["chunks"] if after["tables"]["chunks"].get(b) == first["tables"]["chunks"][b]]
+    assert len(same) >= len(first["tables"]["chunks"]) - 1  # one bucket was written
+    engine.save_all()
+    assert engine.documents.count() == engine.chunks.count() == 39 and len(names(spark, f"{engine.store.path}/versions")) == 2
+    s = engine.stats().first()
+    assert (s["n_documents"], s["n_vectors"], s["n_embedded_documents"]) == (39, 39, 39) and s["storage_bytes"] > 0 and s["storage_mb"] > s["embeddings_mb"] > 0
+    assert engine.indexed_ids().count() == 39 and engine.vectors_of(spark.createDataFrame([("1",)], "doc_id string")).count() == 1
+    assert engine.diagnostics().first()["languages"] == ["en"]
+
+
+def test_texts_are_embedded_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counting(HashingProvider):
+        def embed(self, texts):
+            seen.add(len(texts))
+            return super().embed(texts)
+
+    e = Engine(spark, f"file://{tmp_path}/counted", Counting(8), chunking=WindowChunkConfig(suffix_cascade=False))
+    e.index(rows(spark, *[(str(i), "t", "quiz", f"/{i}", f"Text {i}.") for i in range(10)]))
+    assert seen.value == 10
+    df = spark.createDataFrame([("same",)] * 30 + [("other",), (None,)], "content string").repartition(5)
+    got = embedded_once(df, Counting(8)).collect()
+    assert seen.value == 12 and len(got) == 32 and sum(r["vector"] is None for r in got) == 1
+
+
+def test_vector_files(spark, tmp_path):
+    q = spark.createDataFrame([("c1", "d", 1, [0, 255, 7], 0.5, 1.5), ("c0", "d", 0, [1, 2, 3], 0.5, 1.5), ("e0", "e", 0, [9], -1.0, 1.0)], "chunk_id string, doc_id string, chunk_index int, q array<int>, q_min double, q_max double")
+    for r in vector_files(q).collect():
+        (tmp_path / f"{r['doc_id']}.bin").write_bytes(bytes(r["content"]))
+    raw = (tmp_path / "d.bin").read_bytes()
+    n = int.from_bytes(raw[:4], "little")
+    assert json.loads(raw[4 : 4 + n]) == {"version": 1, "chunkIds": ["c0", "c1"], "params": {"minValue": 0.5, "maxValue": 1.5, "dimension": 3}} and raw[4 + n :] == bytes([1, 2, 3, 0, 255, 7])
+    (tmp_path / "cut.bin").write_bytes(raw[:-2])
+    (tmp_path / "bad.bin").write_bytes(b"\x01")
+    got = sorted((r["chunk_id"], r["q"], r["q_min"]) for r in read_vector_files(spark, f"file://{tmp_path}").collect())
+    assert got == [("c0", [1, 2, 3], 0.5), ("c0", [1, 2, 3], 0.5), ("c1", [0, 255, 7], 0.5), ("e0", [9], -1.0)]
+
+
+def test_a_failing_provider_rests(spark):
+    class Failing:
+        info = HashingProvider(4).info
+
+        def __init__(self, error):
+            self.error, self.calls = error, 0
+
+        def embed(self, texts):
+            self.calls += 1
+            raise self.error
+
+    now = [0.0]
+    f = Failing(RuntimeError("broken"))
+    g = Guarded(f, 300, lambda: now[0])
+    chain = Chain(g, HashingProvider(32))
+    assert chain.embed(["a b"])[0] is not None and not g.healthy and g.reason == "runtime error"
+    assert g.embed(["a"]) == [None] and f.calls == 1
+    now[0] = 301.0
+    assert g.healthy and g.embed(["a"]) == [None] and f.calls == 2
+    p = Guarded(Failing(RuntimeError("no Permission to read")), 300, lambda: now[0])
+    p.embed(["a"])
+    now[0] = 1e12
+    assert not p.healthy and p.reason == "permission denied"
+
+
+def test_providers_by_language(spark):
+    r = Registry({"en": HashingProvider(32), "fr": HashingProvider(48, "fr")})
+    df = spark.createDataFrame([("a b", "en"), ("c d", "fr"), ("e", "de"), (" ", "fr"), (None, None)], "content string, lang string")
+    got = [(r["vector"] and len(r["vector"]), r["vector_language"]) for r in embedded_by_language(df, r, "lang").collect()]
+    assert got == [(32, "en"), (48, "fr"), (32, "en"), (None, None), (None, None)]
+    assert r.available("fr") and not r.available("de") and r.of("de") is r.providers["en"]
+
+
+def test_summaries(spark):
+    chunks = spark.createDataFrame([("d", 0, "x"), ("d", 1, "y")], "doc_id string, chunk_index int, content string")
+    said = spark.createDataFrame([("d", 0, "about x")], "doc_id string, chunk_index int, summary string")
+    assert sorted((r["chunk_index"], r["previous_summary"]) for r in with_summaries(chunks, said).collect()) == [(0, None), (1, "about x")]
+
+
 def test_disabled(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/off", config=EngineConfig(enabled=False))
     e.index(rows(spark, ("a", "t", "quiz", "", "text")))

@@ -95,7 +95,7 @@ def test_streaming(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id string, title string, source_type string, source_path string, text string, s long")
     df.withColumn("ts", F.timestamp_seconds("s")).drop("s").write.parquet(source)
     got, ids = [], []
-    q = ingest(spark.readStream.schema(schema).parquet(source), lambda b, n: got.extend(b.collect()), str(tmp_path / "ck"), after=ids.extend)
+    q = ingest(spark.readStream.schema(schema).parquet(source), lambda b, n: got.extend(b.collect()), str(tmp_path / "ck"), after=lambda some: ids.extend(r["doc_id"] for r in some.collect()))
     q.processAllAvailable()
     q.stop()
     assert sorted((r["doc_id"], r["title"]) for r in got) == [("a", "t"), ("a", "t2"), ("b", "t")] and sorted(set(ids)) == ["a", "b"]
