@@ -137,7 +137,8 @@ def language_sql() -> str:
     counts = ", ".join(f"len(list_filter(w, lambda x: x in {some})) as n_{lang}" for lang, some in FREQUENT_WORDS.items())
     most = "greatest(" + ", ".join(f"n_{lang}" for lang in FREQUENT_WORDS) + ")"
     which = " ".join(f"when n_{lang} = {most} then '{lang}'" for lang in FREQUENT_WORDS)
-    return f"with w as (select doc_id, regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+') as w from documents), n as (select doc_id, {counts} from w) select doc_id, case when {most} = 0 then 'en' {which} end as language from n"
+    scripts = "regexp_matches(text, '[\\p{Hiragana}\\p{Katakana}]') as kana, regexp_matches(text, '\\p{Han}') as han"
+    return f"with w as (select doc_id, {scripts}, regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+') as w from documents), n as (select doc_id, kana, han, {counts} from w) select doc_id, case when {most} > 0 then case {which} end when kana then 'ja' when han then 'zh-Hans' else 'en' end as language from n"
 
 
 @query(language_sql())
@@ -719,9 +720,12 @@ def doc_stats(spark, sf_dir):
     return index.document_stats(_documents(spark, sf_dir), chunks)
 
 
-@query("select d.n as n_documents, c.n as n_chunks, round(c.n / d.n::double, 6) as chunks_per_document, c.n * 256 as float_bytes, c.n * 64 as quantized_bytes from (select count(*) as n from documents) d, (select count(*) as n from conversations) c")
+@query(
+    """select d.n as n_documents, c.n as n_chunks, round(c.n / d.n::double, 6) as chunks_per_document, c.n * 256 as float_bytes, c.n * 64 as quantized_bytes,
+    0::bigint as n_vectors, 0::bigint as n_embedded_documents from (select count(*) as n from documents) d, (select count(*) as n from conversations) c"""
+)
 def store_stats(spark, sf_dir):
-    return index.store_stats(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"), 64)
+    return index.store_stats(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id")), 64)
 
 
 @query(

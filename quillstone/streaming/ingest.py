@@ -17,8 +17,8 @@ def deduplicated(stream: DataFrame, within: str = "2 minutes") -> DataFrame:
     return stream.withColumn("content_hash", content_hash(whole)).withWatermark("ts", within).dropDuplicatesWithinWatermark(["doc_id", "content_hash"])
 
 
-def ingest(stream: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str, within: str = "2 minutes", after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Starts the query: upsert(batch, number) for each batch, then after(its documents' ids (doc_id)), a hook for synchronising elsewhere; it must bear being called again for a batch."""
+def ingest(stream: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str, within: str = "2 minutes", after: Callable[[DataFrame], None] | None = None, once: bool = False) -> StreamingQuery:
+    """Starts the query: upsert(batch, number) for each batch, then after(its documents' ids (doc_id)), a hook for synchronising elsewhere; it must bear being called again for a batch. once: what is there now, and then it ends."""
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
@@ -27,4 +27,5 @@ def ingest(stream: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoi
             after(batch.select("doc_id").distinct())
         batch.unpersist()
 
-    return deduplicated(stream, within).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(each).start()
+    writer = deduplicated(stream, within).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(each)
+    return (writer.trigger(availableNow=True) if once else writer).start()
