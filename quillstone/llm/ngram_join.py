@@ -8,25 +8,31 @@ a pair at the threshold to meet in a leaf of the deepest level with the probabil
 
 Equal texts are one text, with its number of copies. A pair that meets in several runs counts in the first. What leaves put out
 is a row for a text and not for a pair: how many links it gained and the least text that it hangs together with, so a
-group of thousands of near copies makes no more rows than it has texts. A leaf that tokens can't split, as its texts are nearly
-the same, is compared in tiles that different tasks take.
+group of thousands of near copies makes no more rows than it has texts.
+
+A leaf that tokens can't split holds texts that are nearly the same. They are first held against the shingles that most of a
+sample of the leaf share, its consensus P. Of texts i and j that share a and b shingles with P at least a + b - |P| are common
+to both; where that is enough for a link whatever the pair, the texts are a family: all of them are linked, and counting them is
+all there is to do. What is left of the leaf is compared with each other and with the families, in tiles that different tasks
+take; so the work on a family grows with its size and not with its square.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm._shared import documents, mix, stored, window_hashes, word_hashes
 
 SHINGLE, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.999, 3
-#: Texts in a leaf above which a node is split; texts of a tile's side.
-LEAF, TILE = 256, 1024
+#: Texts in a leaf above which a node is split; texts of a tile's side; texts of a larger leaf that its consensus comes from.
+LEAF, TILE, SAMPLE = 256, 1024, 128
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - THRESHOLD**DEPTH))
 TOKENS = RUNS * DEPTH
 _MULTIPLIERS = np.random.default_rng(4711).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,16 +73,17 @@ def _same(values: np.ndarray) -> np.ndarray:
 
 
 def _fresh(table: pa.Table) -> np.ndarray:
-    """Pairs of a tile, as a matrix, which are to be compared here: from its two sides, and not met in an earlier run."""
+    """Pairs of a tile, as a matrix, which are to be compared here: from its two sides, of no common family, and not met in an earlier run."""
     leaves = np.array(table.column("leaves").to_pylist(), dtype=np.int64).reshape(table.num_rows, RUNS)
-    run, side = table.column("run")[0].as_py(), table.column("side").to_numpy()
+    run, side, family = table.column("run")[0].as_py(), table.column("side").to_numpy(), table.column("family").to_numpy()
     pairs = ~np.eye(len(side), dtype=bool) if table.column("a")[0] == table.column("b")[0] else ~_same(side)
+    pairs &= ~(_same(family) & (family != 0)[:, None])
     for r in range(run):
         pairs &= ~(_same(leaves[:, r]) & (leaves[:, r] != 0)[:, None])
     return pairs
 
 
-_TILE = "leaf long, a int, b int, run int, side int, k1 long, k2 long, leaves array<long>"
+_TILE = "leaf long, a int, b int, run int, side int, family long, k1 long, k2 long, leaves array<long>"
 
 
 def _plausible(table: pa.Table) -> pa.Table:
@@ -88,7 +95,7 @@ def _plausible(table: pa.Table) -> pa.Table:
     need = math.floor(TOKENS * THRESHOLD - 3.9 * math.sqrt(TOKENS * THRESHOLD * (1 - THRESHOLD)))
     mask = ((agree >= need) & _fresh(table)).any(axis=1)
     out = table.filter(pa.array(mask)).select([f.split()[0] for f in _TILE.split(", ")])
-    return out.set_column(7, "leaves", out.column("leaves").cast(pa.list_(pa.int64())))
+    return out.set_column(out.num_columns - 1, "leaves", out.column("leaves").cast(pa.list_(pa.int64())))
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -161,6 +168,72 @@ def _leaves(texts: DataFrame) -> DataFrame:
     return done
 
 
+def _sets_of(base: DataFrame, texts: DataFrame) -> DataFrame:
+    """k1, k2, set of texts (k1, k2, rep), from the one document of base that each is named after."""
+    same = (F.col("d.k1") == F.col("w.k1")) & (F.col("d.k2") == F.col("w.k2")) & F.col("d.doc_id").eqNullSafe(F.col("w.rep"))
+    one = base.alias("d").join(texts.alias("w"), same, "left_semi").dropDuplicates(["k1", "k2", "doc_id"])
+    return one.select("k1", "k2", "text").mapInArrow(_sets, "k1 long, k2 long, set binary")
+
+
+def _agreed(table: pa.Table) -> pa.Table:
+    """The shingles that more than half of a leaf's sample have, as bytes, and a hash of them: leaves that agree on them have one family."""
+    sets = [np.frombuffer(s.as_buffer(), dtype="<u8") for s in table.column("set")]
+    found, times = np.unique(np.concatenate(sets), return_counts=True)
+    most = found[2 * times > len(sets)]
+    family = int.from_bytes(hashlib.blake2b(most.tobytes(), digest_size=8).digest(), "little", signed=True) or 1
+    return pa.table({"leaf": table.column("leaf").slice(0, 1), "family": pa.array([family], pa.int64()), "agreed": pa.array([most.astype("<u8").tobytes()], pa.binary())})
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts (k1, k2, family, set, agreed) those that are linked with all others of their family."""
+    for batch in batches:
+        keep = []
+        for own, agreed in zip(batch.column("set"), batch.column("agreed"), strict=True):
+            own, agreed = (np.frombuffer(x.as_buffer(), dtype="<u8") for x in (own, agreed))
+            at = np.searchsorted(agreed, own)
+            both = int((agreed[np.minimum(at, max(len(agreed) - 1, 0))] == own).sum()) if len(agreed) else 0
+            # t (n + m - c) <= c for c = a + b - p common ones: so it is for any two with (1 + t) a - t n >= (1 + t) p / 2.
+            keep.append(len(agreed) > 0 and 2 * ((10 + _TENTHS) * both - _TENTHS * len(own)) >= (10 + _TENTHS) * len(agreed))
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["k1", "k2", "family"])
+
+
+_TENTHS = round(THRESHOLD * 10)
+
+
+def _families(base: DataFrame, texts: DataFrame, leaves: DataFrame) -> DataFrame | None:
+    """k1, k2, family of texts in leaves of more than TILE: any two of a family are linked. None if there is no such leaf."""
+    large = leaves.where(F.col("size") > TILE)
+    if large.isEmpty():
+        return None
+    home = large.groupBy("k1", "k2").agg(F.min_by("leaf", "run").alias("leaf"))
+    home = stored(home.join(texts.select("k1", "k2", "rep"), ["k1", "k2"]), "join-homes")
+    sets = stored(_sets_of(base, home), "join-home-sets")
+    place = F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("k1", "k2"), "k1", "k2"))
+    some = home.select("leaf", "k1", "k2").withColumn("place", place).where(F.col("place") <= SAMPLE).join(sets, ["k1", "k2"])
+    agreed = stored(some.groupBy("leaf").applyInArrow(_agreed, "leaf long, family long, agreed binary"), "join-agreed")
+    rows = home.join(agreed, "leaf").join(sets, ["k1", "k2"]).select("k1", "k2", "family", "set", "agreed")
+    return stored(rows.mapInArrow(_close, "k1 long, k2 long, family long"), "join-families")
+
+
+def _sides(rows: DataFrame) -> DataFrame:
+    """rows (leaf, size, family, k2, ...) with the tiles (a, b) that each is compared in, and its side of them.
+
+    A leaf of more than TILE texts has sides of about TILE texts each; a family of so many has sides of its own, which aren't
+    compared with each other.
+    """
+    large = rows.where(F.col("size") > TILE).groupBy("leaf", "family").agg(F.count(F.lit(1)).alias("m"))
+    large = stored(large.withColumn("group", F.when(F.col("m") >= TILE, F.col("family")).otherwise(0).cast("long")), "join-groups")
+    groups = large.groupBy("leaf", "group").agg(F.ceil(F.sum("m") / TILE).cast("int").alias("sides"))
+    of = Window.partitionBy("leaf")
+    groups = groups.withColumn("first", (F.sum("sides").over(of.orderBy("group")) - F.col("sides")).cast("int")).withColumn("all", F.sum("sides").over(of).cast("int"))
+    layout = stored(large.select("leaf", "family", "group").join(groups, ["leaf", "group"]), "join-layout")
+    rows = rows.join(layout, ["leaf", "family"], "left").na.fill({"group": 0, "sides": 1, "first": 0, "all": 1})
+    apart = (F.col("group") != 0) & (F.col("family") != 0)
+    others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda y: ~apart | (y < F.col("first")) | (y >= F.col("first") + F.col("sides")))
+    rows = rows.withColumn("side", (F.col("first") + F.pmod(F.xxhash64("k2"), F.col("sides"))).cast("int")).withColumn("other", F.explode(others))
+    return rows.withColumn("a", F.least("side", "other")).withColumn("b", F.greatest("side", "other"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node that it hangs together with) for the nodes of edges (u, v), by alternating stars until nothing changes."""
     both = lambda e: e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -201,15 +274,17 @@ def classes(docs: DataFrame) -> DataFrame:
     met = met.join(texts.select("k1", "k2", "tokens"), ["k1", "k2"])
     all_leaves = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.coalesce(F.try_element_at("of", r), F.lit(0).cast("long")))
     rows = met.select("k1", "k2", "tokens", all_leaves.alias("leaves"), F.explode("at").alias("l")).select("k1", "k2", "tokens", "leaves", "l.*")
-    sides = F.ceil(F.col("size") / TILE).cast("int")
-    rows = rows.withColumn("side", F.pmod(F.xxhash64("k2"), sides).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
-    rows = rows.select("leaf", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "run", "side", "k1", "k2", "leaves", "tokens")
+    families = _families(base, texts, leaves)
+    rows = rows.withColumn("family", F.lit(0).cast("long")) if families is None else rows.join(families, ["k1", "k2"], "left").na.fill({"family": 0})
+    rows = _sides(rows).select("leaf", "a", "b", "run", "side", "family", "k1", "k2", "leaves", "tokens")
     tiles = stored(rows.groupBy("leaf", "a", "b").applyInArrow(_plausible, _TILE), "join-tiles")
-    wanted = tiles.select("k1", "k2").distinct().join(texts.select("k1", "k2", "rep"), ["k1", "k2"]).withColumnRenamed("rep", "doc_id")
-    same = (F.col("d.k1") == F.col("w.k1")) & (F.col("d.k2") == F.col("w.k2")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
-    sets = base.alias("d").join(wanted.alias("w"), same, "left_semi").dropDuplicates(["k1", "k2", "doc_id"]).select("k1", "k2", "text").mapInArrow(_sets, "k1 long, k2 long, set binary")
+    sets = _sets_of(base, tiles.select("k1", "k2").distinct().join(texts.select("k1", "k2", "rep"), ["k1", "k2"]))
     full = tiles.join(sets, ["k1", "k2"]).groupBy("leaf", "a", "b")
     links = stored(full.applyInArrow(_linked, "k1 long, k2 long, links long, r1 long, r2 long"), "join-links")
+    if families is not None:
+        sizes = families.groupBy("family").agg((F.count(F.lit(1)) - 1).alias("links"), F.min(F.struct("k1", "k2")).alias("r")).where("links > 0")
+        of_family = families.join(stored(sizes, "join-family-sizes"), "family")
+        links = links.unionByName(of_family.select("k1", "k2", "links", F.col("r.k1").alias("r1"), F.col("r.k2").alias("r2")))
     together = components(links.select(_key("k1", "k2").alias("u"), _key("r1", "r2").alias("v")))
     counted = links.groupBy("k1", "k2").agg(F.sum("links").alias("n_links")).withColumn("node", _key("k1", "k2")).join(together, "node", "left")
     rooted = texts.drop("tokens").join(counted.select("k1", "k2", "n_links", "root"), ["k1", "k2"], "left").withColumn("root", F.coalesce("root", _key("k1", "k2")))

@@ -8,6 +8,7 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -165,9 +166,10 @@ def test_join_edges(spark):
     assert similar(df.limit(0)).count() == 0 and one_of_each(df.limit(0)).count() == 0
 
 
-def test_tiles_of_a_large_leaf(spark, monkeypatch):
+@pytest.mark.parametrize("tile", [2, 5, 12])
+def test_tiles_of_a_large_leaf(spark, monkeypatch, tile):
     docs = list(enumerate(near_copies(90)))
-    for name, value in (("LEAF", 4), ("TILE", 5)):
+    for name, value in (("LEAF", 4), ("TILE", tile)):
         monkeypatch.setattr(ngram_join, name, value)
     got = sorted(map(tuple, similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=repr)
     want = brute_classes(docs)
@@ -197,6 +199,41 @@ def test_recall_on_a_large_family(spark):
     assert {r["class_id"] for r in got.values()} == {0}
 
 
+def test_families_are_linked_throughout():
+    """Whatever a family takes in is linked with all of it: random sets around a consensus."""
+    r = np.random.default_rng(5)
+    agreed = np.sort(r.integers(1, 1 << 60, 100, dtype=np.uint64))
+    sets = []
+    for _ in range(300):
+        own = np.concatenate([r.choice(agreed, int(r.integers(80, 101)), replace=False), r.integers(1, 1 << 60, int(r.integers(0, 20)), dtype=np.uint64)])
+        sets.append(np.sort(own))
+    batch = pa.RecordBatch.from_pylist([{"k1": i, "k2": 0, "family": 1, "set": x.tobytes(), "agreed": agreed.tobytes()} for i, x in enumerate(sets)])
+    (kept,) = ngram_join._close(iter([batch]))
+    near = [set(sets[i].tolist()) for i in kept.column("k1").to_pylist()]
+    assert 20 < len(near) < 250 and all(len(a & b) >= 0.8 * len(a | b) for a in near for b in near)
+
+
+def test_work_on_a_family_grows_with_its_size(spark):
+    """5,000 near copies of one text: no tile compares them with each other, and all of their links are counted."""
+    r, base = random.Random(3), words(300, 21, 10**6)
+    docs = []
+    for i in range(5000):
+        w = list(base)
+        for _ in range(2):
+            w[r.randrange(len(w))] = f"n{r.randrange(10**12)}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    seen = []
+    tile = ngram_join._sides
+    try:
+        ngram_join._sides = lambda rows: seen.append(tile(rows)) or seen[0]
+        got = similar(df).collect()
+    finally:
+        ngram_join._sides = tile
+    assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 4999)}
+    assert seen[0].count() < 5000 * ngram_join.RUNS
+
+
 def test_shingles():
     assert len(shingles("a b c d e f")) == 2 and len(shingles("a b")) == 1 and len(shingles(" ")) == 0
 
