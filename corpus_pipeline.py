@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's
 docs. All but the last return the columns of documents. Every stage works on all that the one before it kept.
+
+Rows with a null text, language or source are documents like others, and so are repeated rows: a null text counts as an empty
+one, and of equal texts the near-copy stage keeps one, as of all near copies. A null id is a value like others, but has no label. Texts of
+any length are taken whole. An empty table of documents gives an empty result with shard and slot; empty tables of labels or
+benchmark items leave their stage without effect. Other columns of documents pass through; shard and slot are replaced.
 """
 
 from __future__ import annotations
