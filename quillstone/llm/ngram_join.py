@@ -32,7 +32,7 @@ from quillstone.llm._shared import documents, mix, stored, window_hashes, word_h
 
 SHINGLE, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.999, 3
 #: Texts in a leaf above which a node is split; texts of a tile's side; texts of a larger leaf that its consensus comes from.
-LEAF, TILE, SAMPLE = 256, 1024, 128
+LEAF, TILE, SAMPLE = 256, 512, 128
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - THRESHOLD**DEPTH))
 TOKENS = RUNS * DEPTH
 _MULTIPLIERS = np.random.default_rng(4711).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
