@@ -82,8 +82,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = lambda k: F.count_if(keep & (F.col("kind") == kinds.index(k))).alias(f"n_{k}")
     found = F.array_sort(F.collect_list(F.when(keep, F.struct("start", "kind", "end")))).alias("found")
     out = parts.groupBy(*key).agg(n("assign"), n("access"), n("hex"), F.count_if(F.coalesce(keep & linked, F.lit(False))).alias("n_linked"), found, F.max("m").alias("m"))
-    # As often as the row was there, COPIES at a time.
-    out = out.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(m - 1) div {COPIES}"))))
+    # As often as the row was there, COPIES at a time, which several tasks make.
+    out = out.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(m - 1) div {COPIES}")))).repartition(*key, "part")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES), F.col("m") - F.col("part") * COPIES))))
     return out.select(F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", "n_linked", "found")
 

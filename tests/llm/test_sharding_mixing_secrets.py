@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import mixing, sharding
+from quillstone.llm import mixing, secrets, sharding
 from quillstone.llm._shared import documents
 from quillstone.llm.mixing import draws, expanded, mix, op9_mixing, targets
 from quillstone.llm.secrets import find_secrets, op8_secrets, redacted, spelled
@@ -298,6 +298,12 @@ def test_links_against_comparing_all_parts(spark):
     assert sum("bare" in v for v in got.values()) > 30 and sum("endpoint" in v for v in got.values()) > 30
 
 
+def test_rows_with_many_copies_come_back_as_often(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "COPIES", 7)
+    df = spark.createDataFrame([(1, "password=hunter22")] * 50 + [(1, None)] * 8 + [(2, "password=hunter22")], "doc_id long, text string")
+    assert Counter(map(tuple, find_secrets(df).select("doc_id", "n_assign").collect())) == Counter({(1, 1): 50, (1, 0): 8, (2, 1): 1})
+
+
 def test_secrets_edges(spark, edge):
     rows = find_secrets(edge).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in EDGE)
