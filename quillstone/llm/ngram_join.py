@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 
 from quillstone.llm._shared import documents, mix, stored, window_hashes, word_hashes
 
-SHINGLE, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.999, 3
+SHINGLE, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.99999, 3
 #: Texts in a leaf above which a node is split; texts of a tile's side; texts of a larger leaf that its consensus comes from.
 LEAF, TILE, SAMPLE = 256, 512, 128
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - THRESHOLD**DEPTH))
 TOKENS = RUNS * DEPTH
+#: Sampled tokens by which two texts of a leaf are held against each other before their sets are.
+CHECKED = min(30, TOKENS)
 _MULTIPLIERS = np.random.default_rng(4711).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -73,9 +75,9 @@ def _same(values: np.ndarray) -> np.ndarray:
 
 
 def _fresh(table: pa.Table) -> np.ndarray:
-    """Pairs of a tile, as a matrix, which are to be compared here: from its two sides, of no common family, and not met in an earlier run."""
-    leaves = np.array(table.column("leaves").to_pylist(), dtype=np.int64).reshape(table.num_rows, RUNS)
+    """Pairs of a tile, as a matrix, which are to be compared here: from its two sides, of no common family, and not met in an earlier run (leaves)."""
     run, side, family = table.column("run")[0].as_py(), table.column("side").to_numpy(), table.column("family").to_numpy()
+    leaves = np.array(table.column("leaves").to_pylist(), dtype=np.int64).reshape(table.num_rows, run)
     pairs = ~np.eye(len(side), dtype=bool) if table.column("a")[0] == table.column("b")[0] else ~_same(side)
     pairs &= ~(_same(family) & (family != 0)[:, None])
     for r in range(run):
@@ -87,12 +89,12 @@ _TILE = "leaf long, a int, b int, run int, side int, family long, k1 long, k2 lo
 
 
 def _plausible(table: pa.Table) -> pa.Table:
-    """The texts of a tile that share enough sampled tokens with one to be compared. At the threshold fewer come less than once in 10,000 pairs."""
-    tokens = np.array(table.column("tokens").to_pylist(), dtype=np.int32).reshape(table.num_rows, TOKENS)
+    """The texts of a tile that share enough sampled tokens with one to be compared. At the threshold fewer come about twice in a million pairs."""
+    tokens = np.array(table.column("tokens").to_pylist(), dtype=np.int32).reshape(table.num_rows, CHECKED)
     agree = np.zeros((len(tokens), len(tokens)), dtype=np.int8)
-    for t in range(TOKENS):
+    for t in range(CHECKED):
         agree += _same(tokens[:, t])
-    need = math.floor(TOKENS * THRESHOLD - 3.9 * math.sqrt(TOKENS * THRESHOLD * (1 - THRESHOLD)))
+    need = math.floor(CHECKED * THRESHOLD - 5 * math.sqrt(CHECKED * THRESHOLD * (1 - THRESHOLD)))
     mask = ((agree >= need) & _fresh(table)).any(axis=1)
     out = table.filter(pa.array(mask)).select([f.split()[0] for f in _TILE.split(", ")])
     return out.set_column(out.num_columns - 1, "leaves", out.column("leaves").cast(pa.list_(pa.int64())))
@@ -271,9 +273,10 @@ def classes(docs: DataFrame) -> DataFrame:
     leaves = stored(_leaves(texts), "join-leaves")
     of_text = F.map_from_entries(F.collect_list(F.struct("run", "leaf")))
     met = leaves.groupBy("k1", "k2").agg(of_text.alias("of"), F.collect_list(F.struct("leaf", "run", "size")).alias("at"))
-    met = met.join(texts.select("k1", "k2", "tokens"), ["k1", "k2"])
+    met = met.join(texts.select("k1", "k2", F.slice("tokens", 1, CHECKED).alias("tokens")), ["k1", "k2"])
     all_leaves = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.coalesce(F.try_element_at("of", r), F.lit(0).cast("long")))
-    rows = met.select("k1", "k2", "tokens", all_leaves.alias("leaves"), F.explode("at").alias("l")).select("k1", "k2", "tokens", "leaves", "l.*")
+    rows = met.select("k1", "k2", "tokens", all_leaves.alias("leaves"), F.explode("at").alias("l"))
+    rows = rows.select("k1", "k2", "tokens", F.slice("leaves", F.lit(1), F.col("l.run")).alias("leaves"), "l.*")
     families = _families(base, texts, leaves)
     rows = rows.withColumn("family", F.lit(0).cast("long")) if families is None else rows.join(families, ["k1", "k2"], "left").na.fill({"family": 0})
     rows = _sides(rows).select("leaf", "a", "b", "run", "side", "family", "k1", "k2", "leaves", "tokens")
