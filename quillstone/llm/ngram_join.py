@@ -33,6 +33,8 @@ from quillstone.llm._shared import documents, mix, stored, window_hashes, word_h
 SHINGLE, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.99999, 3
 #: Texts in a leaf above which a node is split; texts of a tile's side; texts of a larger leaf that its consensus comes from.
 LEAF, TILE, SAMPLE = 256, 512, 128
+#: Marks by which documents are left out before their texts are shuffled: rows of a broadcast, at most.
+MARKS = 1 << 21
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - THRESHOLD**DEPTH))
 TOKENS = RUNS * DEPTH
 #: Sampled tokens by which two texts of a leaf are held against each other before their sets are.
@@ -171,7 +173,14 @@ def _leaves(texts: DataFrame) -> DataFrame:
 
 
 def _sets_of(base: DataFrame, texts: DataFrame) -> DataFrame:
-    """k1, k2, set of texts (k1, k2, rep), from the one document of base that each is named after."""
+    """k1, k2, set of texts (k1, k2, rep), from the one document of base that each is named after.
+
+    Documents whose mark no text has aren't moved. The marks are MARKS numbers at most, whatever the input; where texts have
+    them all, the join alone decides.
+    """
+    texts = stored(texts, "join-wanted")
+    mark = lambda doc_id: F.pmod(F.xxhash64("k1", doc_id), F.lit(MARKS)).cast("int").alias("mark")
+    base = base.withColumn("mark", mark("doc_id")).join(F.broadcast(texts.select(mark("rep")).distinct()), "mark", "left_semi")
     same = (F.col("d.k1") == F.col("w.k1")) & (F.col("d.k2") == F.col("w.k2")) & F.col("d.doc_id").eqNullSafe(F.col("w.rep"))
     one = base.alias("d").join(texts.alias("w"), same, "left_semi").dropDuplicates(["k1", "k2", "doc_id"])
     return one.select("k1", "k2", "text").mapInArrow(_sets, "k1 long, k2 long, set binary")
@@ -271,8 +280,8 @@ def classes(docs: DataFrame) -> DataFrame:
     signed = base.mapInArrow(_signed, "doc_id long, k1 long, k2 long, tokens array<int>")
     texts = stored(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens")), "join-texts")
     leaves = stored(_leaves(texts), "join-leaves")
-    of_text = F.map_from_entries(F.collect_list(F.struct("run", "leaf")))
-    met = leaves.groupBy("k1", "k2").agg(of_text.alias("of"), F.collect_list(F.struct("leaf", "run", "size")).alias("at"))
+    met = leaves.groupBy("k1", "k2").agg(F.collect_list(F.struct("leaf", "run", "size")).alias("at"))
+    met = met.withColumn("of", F.map_from_entries(F.transform("at", lambda x: F.struct(x["run"], x["leaf"]))))
     met = met.join(texts.select("k1", "k2", F.slice("tokens", 1, CHECKED).alias("tokens")), ["k1", "k2"])
     all_leaves = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.coalesce(F.try_element_at("of", r), F.lit(0).cast("long")))
     rows = met.select("k1", "k2", "tokens", all_leaves.alias("leaves"), F.explode("at").alias("l"))
