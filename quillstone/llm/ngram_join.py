@@ -163,12 +163,13 @@ def _leaves(texts: DataFrame) -> DataFrame:
         path = f"p{level}"
         # Stored, so that Spark can split a path that many texts go in the join that follows.
         sizes = stored(rows.groupBy(path).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "join-sizes")
-        rows = rows.join(sizes, path)
+        # Few rows share a node with another text; stored, they serve both the leaves and the next level.
+        rows = stored(rows.join(sizes, path), "join-nodes")
         leaf = rows.where(F.col("size") <= LEAF) if level < DEPTH else rows
         leaf = leaf.select(F.col(path).alias("leaf"), "size", "run", "k1", "k2")
         done = leaf if done is None else done.unionAll(leaf)
         if level < DEPTH:
-            rows = stored(rows.where(F.col("size") > LEAF).drop("size", path), "join-nodes")
+            rows = rows.where(F.col("size") > LEAF).drop("size", path)
     return done
 
 
