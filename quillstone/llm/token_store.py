@@ -14,7 +14,7 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +27,11 @@ from quillstone.llm._shared import documents, fresh_path, small, stored
 #: The id that ends each document.
 END = 0
 #: Text that is encoded at once, about.
-SLICE_BYTES = 2 << 20
-#: Different units of text up to which a worker remembers more of them, the bytes of the longest, and the share of a call's
-#: units below which what is remembered is of no use.
-REMEMBERED, LONGEST_KEPT, STALE = 200_000, 48, 0.3
+SLICE_BYTES = 4 << 20
+#: Different units of text that a worker remembers from call to call, at most, and the bytes of the longest.
+REMEMBERED, LONGEST_KEPT = 400_000, 48
+#: Units that are encoded in one string.
+JOINED = 1 << 15
 STORE = "doc_id long, block int, pos long, ids array<int>"
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20)}
 
@@ -58,6 +59,7 @@ _ODD_BYTE = np.zeros(256, dtype=bool)
 _ODD_BYTE[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True  # what any of them begins with in UTF-8
 _NO_IDS = np.zeros(0, dtype=np.int32)
 _NO_PLACES = np.zeros(0, dtype=np.int64)
+_NO_UNITS = pa.array([], pa.large_binary())
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _LETTER, _MARK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
@@ -65,13 +67,28 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True  # an apostrophe may belong to letters
 
 
+def _offsets(units: pa.Array) -> np.ndarray:
+    """Where each of some units begins in their bytes, and the end of all."""
+    return np.frombuffer(units.buffers()[1], dtype=np.int64)[units.offset : units.offset + len(units) + 1] if len(units) else np.zeros(1, dtype=np.int64)
+
+
+def _decoded(units: pa.Array) -> list[str]:
+    return [u.decode() for u in units.to_pylist()]
+
+
+def _within(place: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """place[0], place[0] + 1, ... up to n[0] of them, then those from place[1], and so on."""
+    total = np.cumsum(n)
+    return np.repeat(place - total + n, n) + np.arange(total[-1] if len(total) else 0)
+
+
 class Encoder:
     """Ids of whole texts, all the texts of a call together.
 
     A byte-level pre-tokenizer always parts a text at a single space that has no other blank beside it, and between a letter
     and a mark, and never joins across; so the text's units between such places can be encoded apart. Units are told apart by their bytes: equal ones of
     a call are encoded once, many of them in one string, in which each begins with the one token that has a space in front;
-    a worker remembers a bounded number of them. Units that don't fit this (a text's first, those with other blanks) are
+    a worker remembers a bounded number of them, those that most calls have. Units that don't fit this (a text's first, those with other blanks) are
     encoded one by one; texts that hold unusual blanks or the string of an added token, and all texts of a tokenizer of
     another kind, are encoded whole.
     """
@@ -88,7 +105,7 @@ class Encoder:
             starts = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
             starts[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True
             in_units = plain_model and by_bytes and all(t and not _BLANK[list(t)].any() for t in added)
-            kept += [in_units, added, starts, ({}, _NO_PLACES, _NO_PLACES, _NO_IDS)]
+            kept += [in_units, added, starts, (_NO_UNITS, _NO_PLACES, _NO_PLACES, _NO_PLACES, _NO_IDS)]
         self.in_units, self.added, self.starts, _ = self.kept = kept
 
     def _apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,27 +114,24 @@ class Encoder:
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         return np.fromiter(chain.from_iterable(found), dtype=np.int32), sizes
 
-    def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same for units that hold one space each, in front."""
-        ids, sizes = [_NO_IDS], [_NO_PLACES]
-        for k in range(0, len(units), 4096):
-            part = units[k : k + 4096]
-            x, _ = self._apart(["".join(part)])
+        ids, sizes, at = [_NO_IDS], [_NO_PLACES], _offsets(units)
+        for k in range(0, len(units), JOINED):
+            part = at[k : k + JOINED + 1]
+            x, _ = self._apart([str(memoryview(units.buffers()[2])[part[0] : part[-1]], "utf-8")])
             n = np.diff(np.append(np.flatnonzero(self.starts[x]), len(x)))
-            if len(n) != len(part):
-                x, n = self._apart(part)
+            if len(n) != len(part) - 1:
+                x, n = self._apart(_decoded(units.slice(k, JOINED)))
             ids.append(x)
             sizes.append(n)
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _ids_of(self, units: list[bytes], apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _ids_of(self, units: pa.Array, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in table, number, table) of the ids of different units; what the worker has met and kept isn't encoded again."""
-        short = np.fromiter(map(len, units), dtype=np.int64, count=len(units)) <= LONGEST_KEPT
-        slots, kept_place, kept_n, table = self.kept[3]
-        slot = np.fromiter(map(slots.get, units, repeat(-1)), dtype=np.int64, count=len(units))
-        if len(slots) > REMEMBERED and (slot >= 0).mean() < STALE:  # other texts than those before: begin anew
-            slots, kept_place, kept_n, table = {}, _NO_PLACES, _NO_PLACES, _NO_IDS
-            slot[:] = -1
+        kept, kept_place, kept_n, uses, table = self.kept[3]
+        short = np.diff(_offsets(units)) <= LONGEST_KEPT
+        slot = pc.index_in(units, value_set=kept).fill_null(-1).to_numpy()
         met = slot >= 0
         place, n = np.zeros(len(units), dtype=np.int64), np.zeros(len(units), dtype=np.int64)
         place[met], n[met] = kept_place[slot[met]], kept_n[slot[met]]
@@ -125,18 +139,30 @@ class Encoder:
         def encode(which: np.ndarray, how) -> np.ndarray:
             nonlocal table
             k = np.flatnonzero(which & ~met)
-            ids, many = how([units[i].decode() for i in k.tolist()])
+            ids, many = how(units.take(pa.array(k)))
             place[k], n[k] = len(table) + np.cumsum(many) - many, many
             table = np.concatenate([table, ids])
             return k
 
-        new = np.concatenate([encode(short & ~apart, self._joined), encode(short & apart, self._apart)])
-        if len(slots) <= REMEMBERED:
-            slots.update(zip([units[i] for i in new.tolist()], range(len(slots), len(slots) + len(new)), strict=True))
-            self.kept[3] = slots, np.append(kept_place, place[new]), np.append(kept_n, n[new]), table
-        encode(~short, self._apart)
+        def one_by_one(some: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            return self._apart(_decoded(some))
+
+        new = np.concatenate([encode(short & ~apart, self._joined), encode(short & apart, one_by_one)])
+        uses = np.concatenate([uses, np.zeros(len(new), dtype=np.int64)])
+        uses[slot[met]] += 1
+        self.kept[3] = pa.concat_arrays([kept, units.take(pa.array(new))]), np.append(kept_place, place[new]), np.append(kept_n, n[new]), uses, table
+        encode(~short, one_by_one)
+        if len(uses) > REMEMBERED:
+            self._forget()
         return place, n, table
 
+    def _forget(self) -> None:
+        """Keeps half of what may be remembered: the units that most calls had, earlier ones counting less; among equals the latest."""
+        kept, place, n, uses, table = self.kept[3]
+        best = np.sort(np.argsort(uses, kind="stable")[len(uses) - REMEMBERED // 2 :])
+        many = n[best]
+        self.kept[3] = kept.take(pa.array(best)), np.cumsum(many) - many, many, uses[best] // 2, table[_within(place[best], many)]
+
     def _cuts(self, texts: list[str], flat: bytes, b: np.ndarray, first: np.ndarray, last: np.ndarray, space: np.ndarray, blank: np.ndarray) -> np.ndarray:
         """Where units begin: each text, its single spaces, its marks behind letters."""
         cut = np.zeros(len(b) + 1, dtype=bool)
@@ -174,14 +200,14 @@ class Encoder:
         spaces = np.zeros(len(b) + 1, dtype=np.int32)
         np.cumsum(space, dtype=np.int32, out=spaces[1:])
         apart = (spaces[stop[at]] - spaces[start[at]] != 1) | ~space[start[at]] | blank[stop[at] - 1]
-        place, n, table = self._ids_of(units.dictionary.to_pylist(), apart)
+        place, n, table = self._ids_of(units.dictionary, apart)
         # The end, as one more unit behind each text.
         place, n, table = np.append(place, len(table)), np.append(n, 1), np.append(table, np.int32(self.end))
         ends = np.searchsorted(start, last, "left")
         unit = np.insert(unit, ends, len(n) - 1)
         many = n[unit]
         total = np.concatenate([[0], np.cumsum(many)])
-        ids = table[np.repeat(place[unit] - total[:-1], many) + np.arange(total[-1])]
+        ids = table[_within(place[unit], many)]
         return ids, np.concatenate([[0], total[ends + np.arange(1, len(raw) + 1)]])
 
 

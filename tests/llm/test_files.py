@@ -74,6 +74,34 @@ def test_what_is_remembered_is_bounded(monkeypatch):
         held([" ".join(f"w{r}" for r in range(k * 40, k * 40 + 60)), "again the same words"])
 
 
+def test_units_that_calls_have_in_common_are_remembered(monkeypatch):
+    monkeypatch.setattr(token_store, "REMEMBERED", 200)
+    plain, asked = Tokenizer.from_file(PATH), []
+
+    class Asked:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.extend(w for text in texts for w in text.split())
+            return plain.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    encoder = token_store.Encoder(plain, 0)
+    encoder.tokenizer = Asked()
+    early, late = [f"early{k}" for k in range(210)], [f"late{k}" for k in range(60)]
+    for words in [early, *([*early[:60], *late, *(f"once{r}x{k}" for k in range(20))] for r in range(12))]:
+        text = " ".join(["Words", *words])
+        ids, _ = encoder([text])
+        assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0]
+    assert sum(w.startswith("late") for w in asked) <= 2 * len(late)
+    assert len(encoder.kept[3][0]) <= 200
+
+
+def test_units_are_remembered_over_strings_and_forgotten_in_part(monkeypatch):
+    monkeypatch.setattr(token_store, "REMEMBERED", 40)
+    monkeypatch.setattr(token_store, "JOINED", 7)
+    random.seed(5)
+    for _ in range(60):
+        held([" ".join(random.choices(["über", "a.b", "it's", "日本", "x" * 60, *(f"w{random.randint(0, 90)}" for _ in range(30))], k=40)) for _ in range(3)])
+
+
 def test_tokens_edges(spark, tmp_path):
     rows = [(5, "b"), (None, None), (2, ""), (2, "twice"), (2, "twice"), (9, "x " * 50_000), (-1, "é\u0000z")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, ids int")
