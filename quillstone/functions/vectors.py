@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def rounded(c: Column | str, digits: int) -> Column:
+    """c to so many digits by way of a whole number, as SQL engines round doubles: F.round() goes by a double's shortest decimals, and so takes 0.5047875 up that lies below its tie."""
+    unit = float(10**digits)
+    return F.round((F.col(c) if isinstance(c, str) else c) * F.lit(unit)) / F.lit(unit)
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
