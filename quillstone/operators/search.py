@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quillstone.config import EngineConfig, SearchConfig
 from quillstone.functions.text import bm25, bm25_total, normalized_hash, rerank_score, tokens
+from quillstone.functions.vectors import rounded
 
 #: Query vectors in a block, about, and blocks that a task holds at once.
 BLOCK, HELD = 4096, 8
@@ -188,15 +189,15 @@ def scored(queries: DataFrame, chunks: DataFrame, config: SearchConfig = SearchC
     some = chunks.drop("vector").join(head.select("chunk_id").distinct(), "chunk_id", "left_semi")
     rows = head.join(matched(asked, some, head), ["query_id", "chunk_id"], "left")
     if config.hybrid:
-        keyword = F.when(F.col("__sum").isNotNull(), F.round(bm25_total(F.col("__sum"), F.col("__n_terms")), DIGITS)).otherwise(0.0)
-        rows = rows.withColumn("score_keyword", keyword).withColumn("score_combined", F.round(fused(F.col("score_embedding"), keyword), DIGITS))
+        keyword = F.when(F.col("__sum").isNotNull(), rounded(bm25_total(F.col("__sum"), F.col("__n_terms")), DIGITS)).otherwise(0.0)
+        rows = rows.withColumn("score_keyword", keyword).withColumn("score_combined", rounded(fused(F.col("score_embedding"), keyword), DIGITS))
     else:
         rows = rows.withColumn("score_keyword", F.lit(0.0)).withColumn("score_combined", F.col("score_embedding"))
     rows = rows.where(F.col("score_combined") >= config.min_score)
     of = Window.partitionBy("query_id")
     rows = rows.withColumn("__n", F.count(F.lit(1)).over(of)).withColumn("__r", F.row_number().over(of.orderBy(F.desc("score_combined"), "chunk_id")))
     rows = rows.where(F.col("__r") <= config.coarse).join(some, "chunk_id").join(asked, "query_id")
-    final = F.round(rerank_score(F.col("score_combined"), F.col("query"), F.coalesce("__overlap", F.lit(0.0)), F.col("content"), F.col("chunk_index")), DIGITS)
+    final = rounded(rerank_score(F.col("score_combined"), F.col("query"), F.coalesce("__overlap", F.lit(0.0)), F.col("content"), F.col("chunk_index")), DIGITS)
     rows = rows.withColumn("score_final", F.when(F.col("__n") > config.top_k, final).otherwise(F.col("score_combined")))
     rank = F.row_number().over(of.orderBy(F.desc("score_final"), "chunk_id"))
     return rows.withColumn("rank", rank).drop("__sum", "__n_terms", "__overlap", "__n", "__r")

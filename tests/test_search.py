@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillstone.config import EngineConfig, SearchConfig, WindowChunkConfig
+from quillstone.functions.vectors import rounded
 from quillstone.operators import ann, embedding, index
 from quillstone.operators.search import best_matches, diversified, search
 from quillstone.streaming.ingest import ingest
@@ -66,6 +67,16 @@ def test_recall_of_clusters(spark, sf):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_scores_are_rounded_as_in_sql(spark):
+    """0.5047875 is a double just below its tie: SQL takes it down, F.round() took it up."""
+    import duckdb
+
+    values = [0.5047875, 0.5047885, 0.1234565, 0.2500005, 1.0, 0.0, -0.5047875]
+    want = duckdb.execute("select [round(x::double, 6) for x in $1::double[]]", [values]).fetchall()[0][0]
+    got = [r["x"] for r in spark.createDataFrame([(x,) for x in values], "x double").select(rounded("x", 6).alias("x")).collect()]
+    assert got == want and got[0] == 0.504787
+
+
 def test_leaders():
     centers, labels = ann.leaders(np.array([[1.0, 0.0], [0.9, 0.1], [0.0, 1.0]]))
     assert labels.tolist() == [0, 0, 1] and np.allclose(centers, [[0.95, 0.05], [0, 1]])
