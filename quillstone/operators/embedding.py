@@ -42,10 +42,28 @@ class Provider(Protocol):
     def embed(self, texts: list[str]) -> list[list[float] | None]: ...
 
 
+class _Places(dict):
+    """Of a word twice its place, and one more if its sign is positive. At MOST words it is begun anew."""
+
+    MOST = 100_000
+
+    def __init__(self, dimension: int) -> None:
+        super().__init__()
+        self.dimension = dimension
+
+    def __missing__(self, word: str) -> int:
+        h = int(hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest()[:15], 16)
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = at = h % self.dimension * 2 + (h >> 59)
+        return at
+
+
 class HashingProvider:
     """Signed counts of a text's lower-case words in hashed places, over their length: offline, and the same everywhere.
 
-    Of a word's sha256 the first 60 bits count: the highest gives the sign, the number modulo the dimension the place.
+    Of a word's sha256 the first 60 bits count: the highest gives the sign, the number modulo the dimension the place. A text
+    whose words cancel each other has a vector of zeros, which matches nothing; one without words has none.
     """
 
     def __init__(self, dimension: int = 64, language: str = "en") -> None:
@@ -53,20 +71,31 @@ class HashingProvider:
 
     def embed(self, texts: list[str]) -> list[list[float] | None]:
         out: list[list[float] | None] = []
-        known: dict[str, tuple[int, float]] = {}
+        places, size = _Places(self.info.dimension), 2 * self.info.dimension
         for text in texts:
-            v = np.zeros(self.info.dimension)
-            for word in text.lower().split():
-                if word not in known:
-                    h = int(hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest()[:15], 16)
-                    known[word] = h % self.info.dimension, 1.0 if h >> 59 else -1.0
-                at, sign = known[word]
-                v[at] += sign
-            n = np.sqrt(v @ v)
-            out.append((v / n).tolist() if n else None)
+            words = text.lower().split()
+            if not words:
+                out.append(None)
+                continue
+            n = np.bincount(np.fromiter(map(places.__getitem__, words), np.int64, len(words)), minlength=size)
+            v = (n[1::2] - n[::2]).astype(np.float64)
+            length = np.sqrt(v @ v)
+            out.append((v / length if length else v).tolist())
         return out
 
 
+class Directed:
+    """A provider without vectors for texts to which it, or by in its place, gives no direction: a vector of zeros."""
+
+    def __init__(self, provider: Provider, by: Provider | None = None) -> None:
+        self.provider, self.by, self.info = provider, by, provider.info
+
+    def embed(self, texts: list[str]) -> list[list[float] | None]:
+        made = self.provider.embed(texts)
+        ruling = made if self.by is None else self.by.embed(texts)
+        return [v if r is not None and any(r) else None for v, r in zip(made, ruling, strict=True)]
+
+
 class Chain:
     """The first provider that embeds a text does."""
 

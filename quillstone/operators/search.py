@@ -56,8 +56,8 @@ class _Block:
 
 
 def _blocks(queries: DataFrame, most: int) -> Iterator[_Block]:
-    """queries (query_id, vector) in blocks of about most vectors; the driver holds one block."""
-    by_query = queries.where(F.size("vector") > 0).groupBy("query_id", F.size("vector").alias("width")).agg(F.collect_list(F.col("vector").cast("array<double>")).alias("vectors"))
+    """queries (query_id, vector) in blocks of about most vectors, those without direction left out; the driver holds one block."""
+    by_query = queries.where(F.exists("vector", lambda x: x != 0)).groupBy("query_id", F.size("vector").alias("width")).agg(F.collect_list(F.col("vector").cast("array<double>")).alias("vectors"))
     held: dict[int, list] = {}
     for r in by_query.toLocalIterator():
         rows = held.setdefault(r["width"], [])

@@ -117,6 +117,43 @@ def test_texts_are_embedded_once(spark, tmp_path):
     assert seen.value == 12 and len(got) == 32 and sum(r["vector"] is None for r in got) == 1
 
 
+def _cancelling(dimension):
+    """Two words that cancel each other in so many places, but not in twice as many."""
+    p, wide = HashingProvider(dimension), HashingProvider(2 * dimension)
+    return next(t for i in range(9999) if not any(p.embed([t := f"word w{i}"])[0]) and any(wide.embed([t])[0]))
+
+
+def test_texts_whose_words_cancel_stay_in_the_index(spark, tmp_path):
+    """They had no vector: their chunks were dropped, and their documents stayed stale after a change of model."""
+    e = Engine(spark, f"file://{tmp_path}/cancel", HashingProvider(64), chunking=WindowChunkConfig(suffix_cascade=False))
+    e.index(rows(spark, ("a", "t", "quiz", "/a", _cancelling(64)), ("b", "t", "quiz", "/b", _cancelling(32)), ("c", "t", "quiz", "/c", "Plain text.")))
+    assert e.stats().first()["n_vectors"] == 3
+    e.provider = HashingProvider(32)
+    e.reconcile()
+    assert {(r["doc_id"], len(r["vector"])) for r in e.chunks.collect()} == {("a", 32), ("b", 32), ("c", 32)}
+    assert e.documents.where("embedding_metadata.dimension <> 32").count() == 0
+    found = e.search(spark.createDataFrame([(1, _cancelling(32)), (2, "plain text.")], "query_id long, text string"))
+    assert {r["query_id"] for r in found.collect()} == {2}
+
+
+@pytest.mark.parametrize("name", ["live_index", "index_events", "index_statistics", "index_lookups", "vector_store", "providers_by_language", "embedded_texts", "text_search", "text_similarity"])
+def test_queries_on_texts_whose_words_cancel(spark, tmp_path, name):
+    import duckdb
+
+    import __spark_entry__
+
+    texts = [_cancelling(32), _cancelling(64), "der die und " + _cancelling(40), "plain words of text here", " \n ", "le les des " + _cancelling(48)] + [_cancelling(n) for n in (40, 48)]
+    d = spark.createDataFrame([(100 * i + k, t, "en", "src1") for i, t in enumerate(texts) for k in (0, 2, 5)], "doc_id long, text string, lang string, source string")
+    d.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "plain words"), (2, _cancelling(64)), (100, "text here")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = __spark_entry__.queries()[name](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(got.columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want))
+
+
 def test_vector_files(spark, tmp_path):
     q = spark.createDataFrame([("c1", "d", 1, [0, 255, 7], 0.5, 1.5), ("c0", "d", 0, [1, 2, 3], 0.5, 1.5), ("e0", "e", 0, [9], -1.0, 1.0)], "chunk_id string, doc_id string, chunk_index int, q array<int>, q_min double, q_max double")
     for r in vector_files(q).collect():
