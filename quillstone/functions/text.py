@@ -85,16 +85,16 @@ def language_supported(lang: Column) -> Column:
 def detected_language(c: Column) -> Column:
     """The language whose frequent words a text holds most of, the first in FREQUENT_WORDS' order if several do.
 
-    With none of them: Japanese if there is kana, Chinese if there are Han characters, else en.
+    With none of them: Japanese if there is kana, Chinese if there are Han characters, else en. A text's words are gone through
+    once, whatever the languages: what is counted for each is the frequent words that are left.
     """
-    words = F.split(F.lower(c), NOT_WORD)
-    count = lambda some: F.size(F.filter(words, lambda x: x.isin(*some)))
-    hits = [(lang, count(some)) for lang, some in FREQUENT_WORDS.items()]
-    best = F.greatest(*[n for _, n in hits])
-    out = F.when(F.rlike(c, F.lit(r"[\p{IsHiragana}\p{IsKatakana}]")), "ja").when(F.rlike(c, F.lit(r"\p{IsHan}")), "zh-Hans").otherwise("en")
-    for lang, n in reversed(hits):
-        out = F.when((n == best) & (best > 0), lang).otherwise(out)
-    return out
+    frequent = sorted({w for some in FREQUENT_WORDS.values() for w in some})
+    words = F.filter(F.split(F.lower(c), NOT_WORD), lambda x: x.isin(*frequent))
+    count = lambda w, some: F.size(F.filter(w, lambda x: x.isin(*some)))
+    counts = bound(words, lambda w: F.array(*[count(w, some) for some in FREQUENT_WORDS.values()]))
+    script = F.when(F.rlike(c, F.lit(r"[\p{IsHiragana}\p{IsKatakana}]")), "ja").when(F.rlike(c, F.lit(r"\p{IsHan}")), "zh-Hans").otherwise("en")
+    names = F.array(*[F.lit(lang) for lang in FREQUENT_WORDS])
+    return bound(counts, lambda n: F.when(F.array_max(n) > 0, F.element_at(names, F.array_position(n, F.array_max(n)).cast("int"))).otherwise(script))
 
 
 def truncated(c: Column, budget: Column) -> Column:

@@ -75,3 +75,11 @@ def test_language(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars > 300")
     right = docs.where(T.detected_language(F.col("text")) == F.col("lang")).count()
     assert right >= 0.8 * docs.count()
+
+
+def test_language_goes_through_the_words_once(spark):
+    """Each language's count went through all words, and again for each comparison: a plan with 13 filters or more over the split text."""
+    df = spark.createDataFrame([("the and of le les",), ("le les the and",), ("nothing known",), ("",), (None,), ("\u3072",), ("\u6f22",), ("der die und THE",)], "text string")
+    got = df.select(T.detected_language(F.col("text")).alias("l"))
+    assert [r["l"] for r in got.collect()] == ["en", "en", "en", "en", "en", "ja", "zh-Hans", "de"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
