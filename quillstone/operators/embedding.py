@@ -1,6 +1,6 @@
 """Embedding providers: texts to vectors.
 
-What a provider can't embed is null and is dropped later with its place kept. Equal texts of a batch are embedded once;
+What a provider can't embed is null and is dropped later with its place kept. Equal texts of a slice of a batch are embedded once;
 embedded_once() embeds the different texts of a whole table and joins them back, for providers whose work outweighs a shuffle.
 """
 
@@ -23,6 +23,18 @@ from quillstone.config import SUPPORTED_LANGUAGES
 from quillstone.functions.vectors import cosine
 
 
+#: Rows, and bytes of their texts about, that a task gives to a provider at once, however large Spark's batches are.
+SLICE, SLICE_BYTES = 1024, 8 << 20
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        size = batch.column(batch.schema.get_field_index(text_col)).nbytes
+        rows = max(1, min(SLICE, batch.num_rows * SLICE_BYTES // max(1, size)))
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 @dataclass(frozen=True)
 class ModelInfo:
     version: str
@@ -159,7 +171,7 @@ def embedded_by_language(df: DataFrame, registry: Registry, language_col: str, t
     """df with vector, and vector_language, the language of the provider that made it; both null where there is no vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, text_col):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             asked = batch.column(batch.schema.get_field_index(language_col)).to_pylist()
             made: list[tuple] = [(None, None)] * len(texts)
@@ -181,7 +193,7 @@ def embedded(df: DataFrame, provider: Provider, text_col: str = "content") -> Da
     """df with vector (array<float>, null where the provider has none or the text is blank). The provider is made once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, text_col):
             at = batch.schema.get_field_index(text_col)
             texts = [t or "" for t in batch.column(at).to_pylist()]
             order = list(dict.fromkeys(t for t in texts if t.strip()))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.config import ContextConfig, EngineConfig, SearchConfig, WindowChunkConfig
 from quillstone.engine import Engine
 from quillstone.functions.register import register
+from quillstone.operators import embedding
 from quillstone.operators.chunking import with_summaries
 from quillstone.operators.embedding import Chain, Guarded, HashingProvider, Registry, embedded, embedded_by_language, embedded_once, mean_vectors
 from quillstone.sources import tables
@@ -117,6 +118,22 @@ def test_texts_are_embedded_once(spark, tmp_path):
     assert seen.value == 12 and len(got) == 32 and sum(r["vector"] is None for r in got) == 1
 
 
+def test_a_provider_gets_slices_of_a_batch(spark):
+    """It got whole batches of Spark's, up to 10,000 texts of any length, and kept every word of them."""
+    class Asked(HashingProvider):
+        def embed(self, texts):
+            if len(texts) > embedding.SLICE or sum(map(len, texts)) > 2 * embedding.SLICE_BYTES:
+                raise ValueError("too much at once")
+            return super().embed(texts)
+
+    df = spark.range(6000).coalesce(1).select(F.concat(F.lit("word w"), "id", F.lit(" "), F.repeat(F.lit("long "), 1000)).alias("content"))
+    assert embedded(df, Asked(8)).where("vector is not null").count() == 6000
+    places = embedding._Places(8)
+    places.MOST = 10
+    kept = {f"w{i}": places[f"w{i}"] for i in range(100)}
+    assert len(places) <= 10 and all(places[w] == at for w, at in kept.items())
+
+
 def _cancelling(dimension):
     """Two words that cancel each other in so many places, but not in twice as many."""
     p, wide = HashingProvider(dimension), HashingProvider(2 * dimension)
