@@ -9,7 +9,7 @@ task puts out its best rows alone, so no pair of query and chunk is ever a row.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ from quillstone.functions.vectors import rounded
 
 #: Query vectors in a block, about, and blocks that a task holds at once.
 BLOCK, HELD = 4096, 8
+#: Ids of found chunks, at most, that are broadcast to fetch the chunks' texts; more are joined by a shuffle.
+FOUND_BROADCAST = 200_000
 DIGITS = 9
 
 
@@ -177,16 +179,23 @@ def fused(embedding: Column, keyword: Column) -> Column:
     return F.greatest(embedding, F.lit(0.7) * embedding + F.lit(0.3) * keyword)
 
 
-def scored(queries: DataFrame, chunks: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
+def scored(queries: DataFrame, chunks: DataFrame, config: SearchConfig = SearchConfig(), content: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The head of each query with score_embedding, score_keyword, score_combined, score_final and rank among the coarse rows.
 
     queries: query_id, text, vector (one row each, or one for each expansion, text the original's). chunks: chunk_id,
     document_id, chunk_index, content, vector. Rows under the threshold and beyond the coarse cut are gone. score_final is the
-    re-ranked one only for queries of which more than top_k rows survive.
+    re-ranked one only for queries of which more than top_k rows survive. Texts are read for the head alone and not shuffled
+    before, if it has FOUND_BROADCAST rows at most: by a broadcast of its ids (chunk_id), from chunks or by content, which gives
+    the columns of chunks but vector for a few ids (for chunks that are a join, whose texts would be shuffled).
     """
     head = best_matches(queries, chunks, config.head).select("query_id", "chunk_id", F.col("score").alias("score_embedding"))
     asked = queries.select("query_id", F.col("text").alias("query")).distinct()
-    some = chunks.drop("vector").join(head.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    ids = head.select("chunk_id").distinct()
+    few = asked.count() * config.head <= FOUND_BROADCAST
+    if few and content is not None:
+        some = content(F.broadcast(ids))
+    else:
+        some = chunks.drop("vector").join(F.broadcast(ids) if few else ids, "chunk_id", "left_semi")
     rows = head.join(matched(asked, some, head), ["query_id", "chunk_id"], "left")
     if config.hybrid:
         keyword = F.when(F.col("__sum").isNotNull(), rounded(bm25_total(F.col("__sum"), F.col("__n_terms")), DIGITS)).otherwise(0.0)
@@ -311,11 +320,11 @@ def diversified(rows: DataFrame, top_k: int) -> DataFrame:
     return places.join(rows, ["query_id", "rank"]).withColumn("rank", F.col("place") + 1).drop("place")
 
 
-def search(queries: DataFrame, chunks: DataFrame, documents: DataFrame | None = None, config: SearchConfig = SearchConfig(), source_types: tuple[str, ...] | None = None, document_ids: tuple[str, ...] | None = None, engine: EngineConfig = EngineConfig()) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, documents: DataFrame | None = None, config: SearchConfig = SearchConfig(), source_types: tuple[str, ...] | None = None, document_ids: tuple[str, ...] | None = None, engine: EngineConfig = EngineConfig(), content: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """query_id, rank, score and the columns of the chunk, with its document's attributes if documents (document_id, ...) is given.
 
     One source type and document ids restrict what is searched; several source types restrict what was found, unless the
-    engine pushes them down. A document that is missing gives source_type unknown and nulls. A disabled engine finds nothing.
+    engine pushes them down. content is scored()'s. A document that is missing gives source_type unknown and nulls. A disabled engine finds nothing.
     """
     if not engine.enabled:
         queries = queries.limit(0)
@@ -324,7 +333,7 @@ def search(queries: DataFrame, chunks: DataFrame, documents: DataFrame | None =
     pushed = source_types is not None and (len(source_types) == 1 or engine.push_source_types)
     if pushed:
         chunks = chunks.where(F.col("source_type").isin(*source_types))
-    found = diversified(scored(queries, chunks, config), config.top_k)
+    found = diversified(scored(queries, chunks, config, content), config.top_k)
     found = found.select("query_id", "rank", F.col("score_final").alias("score"), *[c for c in chunks.columns if c != "vector"])
     if source_types is not None and not pushed:
         found = found.where(F.col("source_type").isin(*source_types))

@@ -67,6 +67,23 @@ def test_recall_of_clusters(spark, sf):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_texts_are_fetched_for_the_head_alone(spark, sf):
+    """The texts of all documents were shuffled to be joined with embeddings, and again with what was found."""
+    from quillstone.operators.search import scored
+    from quillstone.plans import catalog
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        asked, corpus = catalog.asked(spark, sf), catalog.corpus(spark, sf)
+        plain, fetched = scored(asked, corpus), scored(asked, corpus, content=catalog.contents(spark, sf))
+        joins = lambda df: df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin [doc_id")
+        assert joins(fetched) < joins(plain)
+        key = lambda df: sorted(map(tuple, df.select("query_id", "rank", "chunk_id", "document_id", "content", "source_type", "score_final").collect()))
+        assert key(plain) == key(fetched)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_scores_are_rounded_as_in_sql(spark):
     """0.5047875 is a double just below its tie: SQL takes it down, F.round() took it up."""
     import duckdb
