@@ -81,8 +81,7 @@ class Engine:
             df = self._kept(df, f"{stage}/input")
             documents, chunks = I.built(df, self.provider, F.current_timestamp(), self.chunking, lambda c: self._kept(c, f"{stage}/chunks"))
             documents = self._kept(documents, f"{stage}/documents")
-            hashed = I.identified(df).where(F.col("id_strategy") == "source_path_hash").select("doc_id", "source_type", "source_path")
-            gone = self._kept(I.same_source(self.documents, hashed), f"{stage}/gone")
+            gone = self._kept(I.same_source(self.documents, I.hashed_sources(df)), f"{stage}/gone")
             kept_documents, kept_chunks = I.deleted(self.documents, gone), I.deleted(self.chunks, gone)
             touched = documents.select("doc_id").unionAll(gone)
             self._commit({"documents": I.upserted(kept_documents, documents), "chunks": I.replaced(kept_chunks, chunks)}, touched, stage)

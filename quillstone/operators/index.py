@@ -17,16 +17,42 @@ from quillstone.operators.chunking import window_chunks
 from quillstone.operators.embedding import ModelInfo, Provider, embedded
 
 
+def _with_ids(df: DataFrame) -> DataFrame:
+    """Input rows with text, under their canonical ids, with id_strategy. A row without id and path gets an id from all its content."""
+    doc_id, strategy = canonical_id(F.col("doc_id"), F.col("source_type"), F.col("source_path"))
+    rows = df.where(F.coalesce(F.rlike("text", F.lit(r"\S")), F.lit(False))).withColumn("id_strategy", strategy)
+    return rows.withColumn("doc_id", F.coalesce(doc_id, F.concat(F.lit("doc_"), content_hash(_whole())))).withColumn("source_path", F.coalesce("source_path", F.lit("")))
+
+
+def _whole() -> Column:
+    return F.concat_ws("\x01", "title", "source_type", "source_path", "text")
+
+
 def identified(df: DataFrame) -> DataFrame:
     """Input rows (doc_id, title, source_type, source_path, text) with text, under their canonical ids, each (doc_id, content) once.
 
     A row without id and path gets an id from all its content.
     """
-    doc_id, strategy = canonical_id(F.col("doc_id"), F.col("source_type"), F.col("source_path"))
-    rows = df.where(F.coalesce(strip_ws(F.col("text")), F.lit("")) != "").withColumn("id_strategy", strategy)
-    whole = F.concat_ws("\x01", "title", "source_type", "source_path", "text")
-    rows = rows.withColumn("doc_id", F.coalesce(doc_id, F.concat(F.lit("doc_"), content_hash(whole)))).withColumn("source_path", F.coalesce("source_path", F.lit("")))
-    return rows.withColumn("content_hash", content_hash(F.concat_ws("\x01", "title", "source_type", "source_path", "text"))).dropDuplicates(["doc_id", "content_hash"])
+    return _with_ids(df).withColumn("content_hash", content_hash(_whole())).dropDuplicates(["doc_id", "content_hash"])
+
+
+def hashed_sources(df: DataFrame) -> DataFrame:
+    """doc_id, source_type, source_path of input rows whose id comes from type and path; contents are neither hashed nor shuffled."""
+    return _with_ids(df).where(F.col("id_strategy") == "source_path_hash").select("doc_id", "source_type", "source_path")
+
+
+def _one_each(df: DataFrame) -> DataFrame:
+    """Input rows under their ids, of several contents under one id that of least hash.
+
+    The ids are counted first: texts are shuffled for those alone that several rows have.
+    """
+    rows = _with_ids(df).select("doc_id", "title", "source_type", "source_path", "text", "id_strategy")
+    repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return rows
+    again = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id")
+    again = again.agg(F.min_by(F.struct("title", "source_type", "source_path", "text", "id_strategy"), content_hash(_whole())).alias("r")).select("doc_id", "r.*")
+    return rows.join(repeated, "doc_id", "left_anti").unionByName(again)
 
 
 def built(df: DataFrame, provider: Provider, now: Column, config: WindowChunkConfig = WindowChunkConfig(), keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -35,8 +61,7 @@ def built(df: DataFrame, provider: Provider, now: Column, config: WindowChunkCon
     Chunks that can't be embedded are dropped, with gaps in the index; a document without any chunk left isn't in either. keep
     may store the chunks, as both results come from them, and reads what it stored.
     """
-    rows = identified(df)
-    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("title", "source_type", "source_path", "text", "id_strategy"), "content_hash").alias("r")).select("doc_id", "r.*")
+    rows = _one_each(df)
     chunks = embedded(window_chunks(rows, config), provider).where(F.col("vector").isNotNull())
     chunks = chunks.select(chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "content", "chunk_index", "start_offset", "end_offset", now.alias("created_at"), "vector")
     chunks = keep(chunks) if keep is not None else chunks
@@ -75,15 +100,24 @@ def is_stale(meta: Column, now: ModelInfo) -> Column:
 
 
 def refreshed(documents: DataFrame, chunks: DataFrame, provider: Provider, keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Stale documents embedded anew, all of a document's chunks or none; keep as in built()."""
-    stale = documents.where(is_stale(F.col("embedding_metadata"), provider.info)).select("doc_id")
-    new = embedded(chunks.join(stale, "doc_id", "left_semi"), provider)
+    """Stale documents embedded anew, all of a document's chunks or none; keep as in built().
+
+    After a change of model all documents are stale: then chunks aren't joined with their ids, so they aren't shuffled for it.
+    """
+    is_old = is_stale(F.col("embedding_metadata"), provider.info)
+    stale = documents.where(is_old).select("doc_id")
+    every = documents.where(~is_old).isEmpty()
+    new = embedded(chunks if every else chunks.join(stale, "doc_id", "left_semi"), provider)
     new = keep(new) if keep is not None else new
-    whole = new.groupBy("doc_id").agg(F.count_if(F.col("vector").isNull()).alias("n")).where("n = 0").select("doc_id")
-    new = new.join(whole, "doc_id", "left_semi")
-    done = whole.withColumn("__done", F.lit(True))
-    marked = documents.join(done, "doc_id", "left").withColumn("embedding_metadata", F.when(F.col("__done"), provider.info.column()).otherwise(F.col("embedding_metadata"))).drop("__done")
-    return marked, replaced(chunks, new.select(*chunks.columns))
+    failed = new.where(F.col("vector").isNull()).select("doc_id").distinct()
+    done = new.select("doc_id").distinct()
+    if failed.isEmpty():
+        rest = chunks.limit(0) if every else chunks.join(done, "doc_id", "left_anti")
+    else:
+        new, done = new.join(failed, "doc_id", "left_anti"), done.join(failed, "doc_id", "left_anti")
+        rest = chunks.join(failed, "doc_id", "left_semi") if every else chunks.join(done, "doc_id", "left_anti")
+    marked = documents.join(done.withColumn("__done", F.lit(True)), "doc_id", "left").withColumn("embedding_metadata", F.when(F.col("__done"), provider.info.column()).otherwise(F.col("embedding_metadata"))).drop("__done")
+    return marked, rest.unionByName(new.select(*chunks.columns))
 
 
 def quantized_vectors(vectors: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.config import ContextConfig, EngineConfig, SearchConfig, WindowChunkConfig
 from quillstone.engine import Engine
 from quillstone.functions.register import register
-from quillstone.operators import embedding
+from quillstone.operators import embedding, index
 from quillstone.operators.chunking import with_summaries
 from quillstone.operators.embedding import Chain, Guarded, HashingProvider, Registry, embedded, embedded_by_language, embedded_once, mean_vectors
 from quillstone.sources import tables
@@ -134,6 +134,34 @@ def test_a_provider_gets_slices_of_a_batch(spark):
     assert len(places) <= 10 and all(places[w] == at for w, at in kept.items())
 
 
+def _shuffled(df):
+    """What a plan exchanges, and the columns of each exchange."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
+
+
+def test_texts_are_not_shuffled_to_build_an_index(spark):
+    """All texts were hashed and shuffled twice to find rows under one id, and for the chunks and the documents again."""
+    single = rows(spark, ("a", "A", "quiz", "/a", "Some text."), (None, "B", "quiz", "/b", "Other text."), ("c", "C", "quiz", "/c", " "))
+    _, chunks = index.built(single, HashingProvider(8), F.current_timestamp())
+    assert _shuffled(chunks) == 0 and chunks.count() == 2
+    twice = single.unionByName(rows(spark, ("a", "A", "quiz", "/a", "Some more."), (" a ", "A", "quiz", "/a", "Some text.")))
+    documents, chunks = index.built(twice, HashingProvider(8), F.current_timestamp())
+    least = index.identified(twice).where("doc_id = 'a'").orderBy("content_hash").first()["text"]
+    assert [r["content"] for r in chunks.where("doc_id = 'a'").collect()] == [least] and documents.count() == 2
+
+
+def test_a_change_of_model_leaves_chunks_where_they_are(spark, engine):
+    """All chunks were shuffled by the joins with the ids of stale documents, and of those embedded anew."""
+    engine.index(rows(spark, ("a", "A", "quiz", "/a", "Some text."), ("b", "B", "quiz", "/b", "Other text.")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        _, chunks = index.refreshed(engine.documents, engine.chunks, HashingProvider(16))
+        assert _shuffled(chunks) == 0 and {len(r["vector"]) for r in chunks.collect()} == {16}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def _cancelling(dimension):
     """Two words that cancel each other in so many places, but not in twice as many."""
     p, wide = HashingProvider(dimension), HashingProvider(2 * dimension)
