@@ -18,7 +18,7 @@ from quillstone.operators import index as I
 from quillstone.operators.context import contexts
 from quillstone.operators.embedding import HashingProvider, Provider, embedded, languages
 from quillstone.operators.search import search
-from quillstone.sources.tables import Store, clear, packed, stored_bytes, write_table
+from quillstone.sources.tables import COMPRESSION, Store, clear, packed, stored_bytes, write_table
 
 log = logging.getLogger("quillstone")
 CHUNKS = f"{schemas.CHUNKS}, vector array<float>"
@@ -57,7 +57,7 @@ class Engine:
             self.after_commit(ids if touched is None else touched.join(ids, "doc_id", "left_semi"))
 
     def _kept(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.parquet(path)
+        df.write.option("compression", COMPRESSION).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     @contextlib.contextmanager
